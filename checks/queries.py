@@ -1,5 +1,7 @@
 """One query per operator, over whole tables, one scalar per output column."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     """One query per label: the mean of its vectors."""
-    means = [F.avg(F.element_at("embedding", i + 1)) for i in range(DIM)]
-    return (embeddings(spark, sf).groupBy("label").agg(F.array(*means).alias("embedding"))
-            .select(F.col("label").cast("bigint").alias("qid"), "embedding"))
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    return (embeddings(spark, sf).groupBy("label").agg(Summarizer.mean(vector).alias("mean"))
+            .select(F.col("label").cast("bigint").alias("qid"), vector_to_array("mean").alias("embedding")))
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,8 +61,12 @@ def text_index(spark: SparkSession, sf: str) -> DataFrame:
     return ix.build_index(papers.embed(documents(spark, sf), ENCODER), CODEBOOK[4], 4, dim=DIM)
 
 
+# Exploding uses the outer form: the inner one adds a filter on the exploded
+# column, for which Spark computes that column a second time.
+
+
 def coordinates(df: DataFrame, vector: str) -> DataFrame:
-    return df.select("id", F.posexplode(vector).alias("pos", "x")).select("id", "pos", r6(F.col("x").cast("double")).alias("x"))
+    return df.select("id", F.posexplode_outer(vector).alias("pos", "x")).select("id", "pos", r6(F.col("x").cast("double")).alias("x"))
 
 
 def rotated(spark, sf):
@@ -167,27 +173,27 @@ def unrotate_roundtrip(spark, sf):
 
 
 def codebook_step(spark, sf):
-    points = rotated(spark, sf).select(F.explode("rotated").alias("x"), F.lit(1.0).alias("w"))
+    points = rotated(spark, sf).select(F.explode_outer("rotated").alias("x"), F.lit(1.0).alias("w"))
     step = cb.lloyd_step(points, CODEBOOK)
     return step.select("bits", "idx", r6(F.col("weight")).alias("weight"),
                        r6(F.col("centroid")).alias("centroid"), r6(F.col("spread")).alias("spread"))
 
 
 def codebook_fit(spark, sf):
-    points = rotated(spark, sf).select(F.explode("rotated").alias("x"), F.lit(1.0).alias("w"))
+    points = rotated(spark, sf).select(F.explode_outer("rotated").alias("x"), F.lit(1.0).alias("w"))
     return cb.fit(points, DIM).select("dim", "bits", "idx", r6(F.col("centroid")).alias("centroid"))
 
 
 def quantize_codes(spark, sf):
     code = codes.byte_values(codes.quantize(F.col("rotated"), CODEBOOK[4], DIM))
-    return rotated(spark, sf).select("id", F.posexplode(code).alias("pos", "code"))
+    return rotated(spark, sf).select("id", F.posexplode_outer(code).alias("pos", "code"))
 
 
 def quantize_histogram(spark, sf):
     coded = rotated(spark, sf).select(F.inline(F.array(*[
         F.struct(F.lit(bits).alias("bits"), codes.byte_values(codes.quantize(F.col("rotated"), table, DIM)).alias("codes"))
         for bits, table in CODEBOOK.items()])))
-    return coded.select("bits", F.explode("codes").alias("code")).groupBy("bits", "code").agg(F.count("*").alias("n"))
+    return coded.select("bits", F.explode_outer("codes").alias("code")).groupBy("bits", "code").agg(F.count("*").alias("n"))
 
 
 def pack_hex(spark, sf):
@@ -199,7 +205,7 @@ def pack_hex(spark, sf):
 
 def unpack_codes(spark, sf):
     unpacked = codes.byte_values(codes.unpack(F.col("packed"), 2, DIM))
-    return index(spark, sf, 2, with_qjl=False).select("id", F.posexplode(unpacked).alias("pos", "code"))
+    return index(spark, sf, 2, with_qjl=False).select("id", F.posexplode_outer(unpacked).alias("pos", "code"))
 
 
 def centroid_coordinates(spark, sf):
@@ -232,7 +238,7 @@ def qjl_bits_hex(spark, sf):
 
 def qjl_bits_values(spark, sf):
     bits = codes.byte_values(codes.unpack(F.col("qjl_bits"), 1, DIM))
-    return index(spark, sf).select("id", F.posexplode(bits).alias("pos", "bit"))
+    return index(spark, sf).select("id", F.posexplode_outer(bits).alias("pos", "bit"))
 
 
 # Indexes.
@@ -303,7 +309,7 @@ def reconstruction_error(spark, sf):
 
 def query_lookup_table(spark, sf):
     products = sr.query_tables(label_queries(spark, sf), CODEBOOK[4], 4, DIM)
-    return products.select("qid", "position", F.posexplode("products").alias("byte", "value")).select(
+    return products.select("qid", "position", F.posexplode_outer("products").alias("byte", "value")).select(
         "qid", "position", "byte", r6(F.col("value")).alias("value"))
 
 

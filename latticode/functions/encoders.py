@@ -1,4 +1,8 @@
-"""Text encoders. An encoder maps a text column to an `array<float>` column."""
+"""Text encoders. An encoder maps a text column to an `array<float>` column.
+
+Encoders are costly, so they are declared nondeterministic: Spark then never
+computes one twice, which it may do to filter on its result early.
+"""
 
 from collections.abc import Callable, Iterator
 from hashlib import md5
@@ -35,7 +39,7 @@ def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], dim: in
         for texts in batches:
             yield k.over_valid(texts, vectors)
 
-    return F.arrow_udf(encode, ArrayType(FloatType()))
+    return F.arrow_udf(encode, ArrayType(FloatType())).asNondeterministic()
 
 
 def _token_hash(token: str) -> int:
@@ -66,4 +70,4 @@ def hashed_encoder(dim: int = 64) -> Encoder:
 
         return k.over_valid(col, vectors)
 
-    return bag
+    return bag.asNondeterministic()

@@ -9,8 +9,10 @@ SNIPPET_LENGTH = 280
 TITLE_MARK = "Title: "
 ABSTRACT_MARK = " | Abstract: "
 LINK_PREFIX = "https://arxiv.org/abs/"
-# Unicode white space: controls 9-13 and 28-31, next line, separators.
-SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+# Unicode white space: controls 9-13 and 28-31, next line, space separators,
+# line and paragraph separators.
+SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+         "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def is_long_enough(text: Column, minimum: int = MIN_LENGTH) -> Column:
@@ -25,7 +27,7 @@ def content(title: Column, abstract: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def content_title(col: Column) -> Column:
@@ -46,9 +48,10 @@ def one_line(text: Column, replacement: str = " ") -> Column:
 
 def snippet(text: Column, length: int = SNIPPET_LENGTH) -> Column:
     """One line of at most `length` characters, cut at a word end with an ellipsis."""
-    line = one_line(F.coalesce(text, F.lit("")))
-    cut = F.regexp_replace(F.substring(line, 1, length), r" [^ ]*\z", "")
-    return F.when(F.length(line) > length, F.concat(cut, F.lit("…"))).otherwise(line)
+    stripped = strip(F.coalesce(text, F.lit("")))
+    head = F.replace(F.substring(stripped, 1, length), F.lit("\n"), F.lit(" "))
+    cut = F.regexp_replace(head, r" [^ ]*\z", "")
+    return F.when(F.length(stripped) > length, F.concat(cut, F.lit("…"))).otherwise(head)
 
 
 def link(id_col: Column) -> Column:

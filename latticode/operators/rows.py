@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latticode.functions import kernels as k
 
 SMALL_CAP = 10_000
+SMALL_TABLE = 1_000_000
 
 
 def _range_of(key: Column, bounds: list) -> Column:
@@ -57,6 +58,18 @@ def number_rows(df: DataFrame, order_by: str, name: str = "row_index",
             .drop("_range", "_start"))
 
 
+def spread_small(df: DataFrame, rows: int = SMALL_TABLE) -> DataFrame:
+    """A table of at most `rows` rows over all cores; a larger one as it is.
+
+    A small file is often one row group, so that one task would do all costly
+    work per row. Counting reads file footers, and a large table has enough
+    row groups: it is never shuffled here.
+    """
+    if df.count() > rows:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def sample_every(df: DataFrame, every: int, order_by: str) -> DataFrame:
     """Rows 0, every, 2 * every, ... in the order of a unique key."""
     if every < 1:

@@ -74,7 +74,7 @@ def query_tables(queries: DataFrame, table: Sequence[float], n_bits: int, dim: i
         return k.over_valid(col, apply)
 
     return queries.where(F.col("embedding").isNotNull()).select(
-        "qid", F.posexplode(products("embedding")).alias("position", "products"))
+        "qid", F.posexplode_outer(products("embedding")).alias("position", "products"))
 
 
 class _Best:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from latticode.functions import text
 from latticode.functions.encoders import Encoder
-from latticode.operators.rows import cap_rows
+from latticode.operators.rows import cap_rows, spread_small
 from latticode.sources import tables
 
 
@@ -31,15 +31,13 @@ def contents(papers: DataFrame, num_rows: int | None = None,
 
 
 def embed(papers: DataFrame, encoder: Encoder, num_rows: int | None = None,
-          min_length: int = text.MIN_LENGTH, partitions: int | None = None) -> DataFrame:
+          min_length: int = text.MIN_LENGTH) -> DataFrame:
     """Embeddings table (id, content, embedding): filter, content, encoder.
 
-    The filter runs before the encoder and nothing is shuffled, unless
-    `partitions` asks to spread few or uneven files over that many tasks.
+    The filter runs before the encoder, and only a small table is shuffled, to
+    put all cores to work on it.
     """
-    texts = contents(papers, num_rows, min_length)
-    if partitions:
-        texts = texts.repartition(partitions)
+    texts = contents(spread_small(papers), num_rows, min_length)
     return texts.withColumn("embedding", encoder(F.col("content")))
 
 
