@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 
 SIGNS = (-1.0, 1.0)
 COORDINATE_DECIMALS = 12
+CHUNK_CELLS = 1 << 17
 
 
 def next_power_of_two(n: int) -> int:
@@ -39,8 +40,8 @@ def walsh_hadamard(rows: np.ndarray) -> np.ndarray:
     left = dim
     while left > 1:
         block = min(left, 64)
-        rows = rows.reshape(n, dim // block, block) @ hadamard(block)
-        rows = np.swapaxes(rows, 1, 2).reshape(n, dim)
+        rows = rows.reshape(-1, block) @ hadamard(block)
+        rows = np.swapaxes(rows.reshape(n, dim // block, block), 1, 2).reshape(n, dim)
         left //= block
     return rows / np.sqrt(dim)
 
@@ -72,8 +73,11 @@ def nearest(rows: np.ndarray, centroids) -> np.ndarray:
     up to rounding (often exactly 0) is on it in whatever order sums ran.
     """
     c = np.asarray(centroids)
-    borders = (c[1:] + c[:-1]) / 2
-    return np.searchsorted(borders, np.round(rows, COORDINATE_DECIMALS), side="left").astype(np.uint8)
+    rows = np.round(rows, COORDINATE_DECIMALS)
+    codes = np.zeros(rows.shape, dtype=np.uint8)
+    for border in (c[1:] + c[:-1]) / 2:
+        codes += rows > border
+    return codes
 
 
 def slots_per_byte(bits: int) -> int:
@@ -97,8 +101,10 @@ def _shifts(bits: int) -> np.ndarray:
 def pack(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes to bytes, first code in the high bits."""
     width = check_packable(codes.shape[1], bits)
-    parts = codes.reshape(len(codes), width, 8 // bits) << _shifts(bits)
-    return np.bitwise_or.reduce(parts, axis=2)
+    packed = np.zeros((len(codes), width), dtype=np.uint8)
+    for slot, shift in enumerate(_shifts(bits)):
+        packed |= codes[:, slot :: 8 // bits] << shift
+    return packed
 
 
 def byte_codes(bits: int) -> np.ndarray:
@@ -133,6 +139,13 @@ def table_scores(packed: np.ndarray, table: np.ndarray) -> np.ndarray:
 # Arrow arrays to matrices and back.
 
 
+def in_chunks(array: pa.Array, dim: int, apply):
+    """`apply` to slices whose matrices of `dim` doubles fit a processor cache."""
+    step = max(64, CHUNK_CELLS // max(1, dim))
+    parts = [apply(array.slice(at, step)) for at in range(0, max(1, len(array)), step)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
 def over_valid(array: pa.Array, apply):
     """`apply` to the non-null rows; null rows stay null."""
     if array.null_count == 0:

@@ -77,7 +77,7 @@ def encode_vectors(vector: Column, table: Sequence[float], n_bits: int, dim: int
             return pa.StructArray.from_arrays([out[name] for name, _ in columns],
                                               names=[name for name, _ in columns])
 
-        return k.over_valid(col, apply)
+        return k.over_valid(col, lambda c: k.in_chunks(c, dim, apply))
 
     return encoded(vector)
 
