@@ -65,7 +65,7 @@ def hashed_encoder(dim: int = 64) -> Encoder:
             weights = np.where(hashes & 1, -1.0, 1.0) * np.array([w != "" for w in vocabulary], dtype=float)
             word = coded.indices.to_numpy()
             cell = row * dim + (hashes >> 4)[word] % dim
-            bags = np.bincount(cell, weights=weights[word], minlength=len(texts) * dim)
+            bags = np.bincount(cell, weights=weights[word], minlength=len(texts) * dim).astype(np.float64)
             return k.matrix_list(k.normalize(bags.reshape(-1, dim)), pa.float32())
 
         return k.over_valid(col, vectors)
