@@ -271,6 +271,8 @@ SELECT id, {strip('substring(content, 1, p - 1)')} AS title_part,
     "text_profile_linear": describe(nearest=False),
     "sample_every_n": f"""WITH {PAPERS}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM papers)
 SELECT id, title, abstract FROM numbered WHERE n % {SAMPLE_EVERY} = 0""",
+    "sample_every_n_files": f"""WITH numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)
+SELECT doc_id, source, text FROM numbered WHERE n % {SAMPLE_EVERY} = 0""",
     "dimension_check": "SELECT len(embedding)::INT AS dim, count(*) AS vectors FROM embeddings GROUP BY 1",
     "index_profile": profile(),
     "vector_normalize": coordinates(UNIT, "unit", "j", "x"),

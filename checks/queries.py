@@ -144,6 +144,11 @@ def sample_every_n(spark, sf):
     return rw.sample_every(documents(spark, sf), SAMPLE_EVERY, "id").select("id", "title", "abstract")
 
 
+def sample_every_n_files(spark, sf):
+    docs = tables.read_table(spark, f"{sf}/documents.parquet")
+    return rw.sample_file_rows(docs, SAMPLE_EVERY).select("doc_id", "source", "text")
+
+
 def dimension_check(spark, sf):
     return ix.check_dimensions(embeddings(spark, sf))
 
@@ -348,7 +353,8 @@ def search_qjl_reference(spark, sf):
 
 
 def search_documents(spark, sf):
-    found = sr.attach_documents(hits(spark, sf), documents(spark, sf))
+    asked = label_queries(spark, sf).count() * TOP_N
+    found = sr.attach_documents(hits(spark, sf), documents(spark, sf), max_hits=asked)
     return scored(found).select("qid", "rank", "id", "score", "title")
 
 
@@ -389,7 +395,8 @@ def cluster_vectors(spark, sf):
 QUERIES = [
     text_filter_content, content_split, snippet, result_card, display_text, embed_hashed, embed_row_cap,
     embeddings_write_read, json_roundtrip, non_null_counts, valid_count, table_height, text_profile,
-    text_profile_linear, sample_every_n, dimension_check, index_profile, vector_normalize, vector_pad, rotate,
+    text_profile_linear, sample_every_n,
+    sample_every_n_files, dimension_check, index_profile, vector_normalize, vector_pad, rotate,
     unrotate_roundtrip, codebook_step, codebook_fit, quantize_codes, quantize_histogram, pack_hex, unpack_codes,
     centroid_coordinates, dequantize, residual, residual_gamma, qjl_bits_hex, qjl_bits_values, index_build,
     index_union, index_write_read, index_job, index_stream_append, index_size_report, index_verify,

@@ -80,8 +80,9 @@ def pad_zeros(v: Column, dim: int) -> Column:
         F.concat(v, F.array_repeat(F.lit(0.0), F.lit(dim) - F.size(v))))
 
 
-def rotate(v: Column, seed: int, dim: int) -> Column:
-    """Zero-pad vectors of `dim` to a power of two, flip signs, transform."""
+def rotate(v: Column, seed: int, dim: int | None = None) -> Column:
+    """Zero-pad vectors (of `dim`, if given) to a power of two, flip signs,
+    transform."""
 
     @F.arrow_udf(VECTOR)
     def rotated(col: pa.Array) -> pa.Array:

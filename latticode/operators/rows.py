@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from latticode.functions import kernels as k
 
 SMALL_CAP = 10_000
-SMALL_TABLE = 1_000_000
+SMALL_TABLE = 200_000
+BROADCAST_FILES = 1_000_000
 
 
 def _range_of(key: Column, bounds: list) -> Column:
@@ -58,20 +59,47 @@ def number_rows(df: DataFrame, order_by: str, name: str = "row_index",
             .drop("_range", "_start"))
 
 
+def exceeds(df: DataFrame, rows: int) -> bool:
+    """Whether the table has more than `rows` rows. Partitions are read a few at
+    a time until the answer is known, so a large table is not scanned."""
+    return bool(df.select(F.lit(1)).offset(rows).take(1))
+
+
 def spread_small(df: DataFrame, rows: int = SMALL_TABLE) -> DataFrame:
     """A table of at most `rows` rows over all cores; a larger one as it is.
 
     A small file is often one row group, so that one task would do all costly
-    work per row. Counting reads file footers, and a large table has enough
-    row groups: it is never shuffled here.
+    work per row. A large table has enough row groups and is never shuffled here.
     """
-    if df.count() > rows:
+    if exceeds(df, rows):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def sample_file_rows(df: DataFrame, every: int) -> DataFrame:
+    """Rows 0, every, 2 * every, ... of a Parquet scan in file order.
+
+    A row's number is its position in its file plus the rows of the files
+    before it by path. Only the counts per file are gathered, so this is a map
+    over the table: no row is shuffled, however wide it is.
+    """
+    if every < 1:
+        raise ValueError("every must be at least 1")
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_position": F.col("_metadata.row_index")})
+    files = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+    # One row per file: a small table next to the data, and one window partition.
+    before = Window.partitionBy().orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    if not exceeds(files, BROADCAST_FILES):
+        starts = F.broadcast(starts)
+    return (placed.join(starts, "_file")
+            .where((F.col("_start") + F.col("_position")) % every == 0)
+            .select(*df.columns))
+
+
 def sample_every(df: DataFrame, every: int, order_by: str) -> DataFrame:
-    """Rows 0, every, 2 * every, ... in the order of a unique key."""
+    """Rows 0, every, 2 * every, ... in the order of a unique key. For a Parquet
+    scan, `sample_file_rows` does without the shuffle."""
     if every < 1:
         raise ValueError("every must be at least 1")
     numbered = number_rows(df, order_by, "_row")

@@ -3,12 +3,12 @@
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from latticode.functions import kernels as k
 from latticode.functions import vectors
 from latticode.operators.codebook import centroids
-from latticode.operators.index import MSE_SEED, QJL_SEED, vector_dim
+from latticode.operators.index import MSE_SEED, QJL_SEED
 from latticode.sources.tables import new_shared_path
 
 # Scores are compared at this precision, so that equal codes tie (and then go
@@ -28,7 +28,7 @@ BLOCK_BYTES = 32 << 20
 INLINE_BLOCKS = 8
 # Hits are broadcast or looked up by id only below these counts.
 BROADCAST_HITS = 1_000_000
-LOOKUP_HITS = 10_000
+LOOKUP_HITS = 1_000
 # A single query's hits are merged in this many groups before the final rank.
 MERGE_GROUPS = 32
 # Score cells computed at a time in a task.
@@ -48,7 +48,7 @@ def sketch_scale(dim: int, alpha: str = "unbiased") -> float:
     return math.sqrt(math.pi / 2) / (math.sqrt(dim) if alpha == "unbiased" else dim)
 
 
-def rotate_queries(queries: DataFrame, dim: int, mse_seed: int = MSE_SEED,
+def rotate_queries(queries: DataFrame, dim: int | None = None, mse_seed: int = MSE_SEED,
                    qjl_seed: int = QJL_SEED) -> DataFrame:
     """(qid, rotated, qjl_rotated): queries under both rotations."""
     query = F.col("embedding")
@@ -192,7 +192,8 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
            method: str = "auto", block_rows: int | None = None) -> DataFrame:
     """Hits (qid, id, score, rank): the best `top_n` rows of the index per query.
 
-    `queries` is (qid, embedding); null queries have no hits. The queries are
+    `queries` is (qid, embedding); null queries have no hits, and with `dim` any
+    other dimension is an error. The queries are
     rotated by Spark and come to the driver one bounded block at a time. Every
     block is one scan of the index in which a partition keeps its own best rows
     per query, so a shuffle sees top_n rows per query and partition, never a
@@ -200,31 +201,31 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
     to the shared folder before the next one is fetched.
     """
     spark = index.sparkSession
-    dim = dim or vector_dim(queries)
-    if dim is None:
+    rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
+    if not with_qjl:
+        rotated = rotated.drop("qjl_rotated")
+    rows = rotated.toLocalIterator()
+    first = next(rows, None)
+    if first is None:
         return _no_hits(index, queries)
-    wide = k.next_power_of_two(dim)
+    wide = len(first.rotated)
     table = centroids(codebook, codebook_dim or wide, n_bits)
     scale = sketch_scale(wide, alpha)
-    qid_field = queries.schema["qid"]
     block_rows = block_rows or max(1, BLOCK_BYTES // (wide * 8 * (2 if with_qjl else 1)))
 
     blocks, written = [], None
-    rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
-    if not with_qjl:
-        rotated = rotated.drop("qjl_rotated")
-    for rows in batched(rotated.toLocalIterator(), block_rows):
+    for block in batched(chain([first], rows), block_rows):
         blocks.append(rank_hits(_score_block(
-            index, [r.qid for r in rows], np.array([r.rotated for r in rows]),
-            np.array([r.qjl_rotated for r in rows]) if with_qjl else None,
-            table, n_bits, scale, top_n, qid_field, method), top_n, max(1, MERGE_GROUPS // len(rows))))
+            index, [r.qid for r in block], np.array([r.rotated for r in block]),
+            np.array([r.qjl_rotated for r in block]) if with_qjl else None,
+            table, n_bits, scale, top_n, queries.schema["qid"], method), top_n, max(1, MERGE_GROUPS // len(block))))
         if len(blocks) > INLINE_BLOCKS:
             written = written or new_shared_path(spark, "hits")
             reduce(DataFrame.unionByName, blocks).write.mode("append").parquet(written)
             blocks = []
     if written:
         blocks.append(spark.read.parquet(written))
-    return reduce(DataFrame.unionByName, blocks) if blocks else _no_hits(index, queries)
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def _no_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -264,6 +265,9 @@ def lookup_documents(hits: DataFrame, docs: DataFrame, id_col: str = "id") -> Da
     if len(rows) > LOOKUP_HITS:
         return attach_documents(hits, docs, id_col)
     ids = sorted({r.id for r in rows})
-    found = docs.where(F.col(id_col).isin(ids)) if ids else docs.where(F.lit(False))
+    # Parquet takes lists of up to ten values as they are; a longer one becomes
+    # the range from its least to its largest, which prunes nothing.
+    lists = [F.col(id_col).isin(*part) for part in batched(ids, 10)]
+    found = docs.where(reduce(Column.__or__, lists) if lists else F.lit(False))
     local = hits.sparkSession.createDataFrame(rows, hits.schema)
     return attach_documents(local, found, id_col, max_hits=len(rows))

@@ -35,7 +35,7 @@ class DocumentSearch:
 
     def query_many(self, queries: DataFrame, top_n: int = 10) -> DataFrame:
         """Documents with qid, score and rank for a table of (qid, text)."""
-        return sr.attach_documents(self.hits(queries, top_n), self.docs)
+        return sr.attach_documents(self.hits(queries, top_n), self.docs, max_hits=queries.count() * top_n)
 
     def query(self, text: str, top_n: int = 10) -> DataFrame:
         """Documents with score and rank for one question, read by id."""

@@ -56,3 +56,21 @@ def test_caps(shuffled, monkeypatch):
 def test_only_small_tables_are_spread(shuffled):
     assert "RoundRobin" in plan(rw.spread_small(shuffled))
     assert rw.spread_small(shuffled, rows=10) is shuffled
+
+
+def test_file_order_sample_is_a_map(spark, tmp_path, shuffled):
+    path = str(tmp_path / "t")
+    shuffled.write.parquet(path)
+    spark.range(0).select(F.col("id").alias("k"), F.lit(1).alias("v")).coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    ordered = [r.k for r in df.select("k", "_metadata.file_path", "_metadata.row_index")
+               .orderBy("file_path", "row_index").collect()]
+    sample = rw.sample_file_rows(df, 7)
+    assert sample.columns == ["k", "v"]
+    assert sorted(r.k for r in sample.collect()) == sorted(ordered[::7])
+    assert sorted(r.k for r in rw.sample_file_rows(df, 10 ** 6).collect()) == [ordered[0]]
+    assert "BroadcastHashJoin" in plan(sample) and "SortMergeJoin" not in plan(sample)
+
+
+def test_exceeds(shuffled):
+    assert rw.exceeds(shuffled, 999) and not rw.exceeds(shuffled, 1000)

@@ -196,6 +196,9 @@ def test_lookup_pushes_ids_to_sorted_files(spark, found, docs, monkeypatch):
     assert "In(doc_id, [2,5,99])" in plan(looked)
     rows = sorted((r.qid, r.rank, r.title) for r in looked.collect())
     assert rows == [(0, 1, "t5"), (0, 2, "t2"), (1, 1, "t5")]
+    many = spark.range(25).select(F.lit(0).cast("bigint").alias("qid"), "id", F.lit(0.5).alias("score"), F.lit(1).alias("rank"))
+    text = plan(sr.lookup_documents(many, stored, "doc_id"))
+    assert "PushedFilters: [Or(Or(In(doc_id, [0,1,2,3,4,5,6,7,8,9]),In(doc_id, [10," in text
     monkeypatch.setattr(sr, "LOOKUP_HITS", 2)
     assert sorted((r.qid, r.rank, r.title) for r in sr.lookup_documents(found, stored, "doc_id").collect()) == rows
     assert sr.lookup_documents(found.where("qid > 5"), stored, "doc_id").count() == 0
