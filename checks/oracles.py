@@ -301,6 +301,12 @@ SELECT doc_id, source, text FROM numbered WHERE n % {SAMPLE_EVERY} = 0""",
   {r6('avg(e)')} AS mean_squared_error FROM (SELECT sum(x * x) AS e FROM res GROUP BY id)""",
     "reconstruction_error": errors(),
     "query_lookup_table": lookup_table(),
+    "score_one_query": f"""WITH {index()}, asked AS (SELECT 0 AS qid, j, avg(x) AS x FROM raw GROUP BY j),
+{rotation('aq', 'asked', MSE, 'qid')}, {rotation('sq', 'asked', QJL, 'qid')},
+mse AS (SELECT id, sum(aq.y * q.c) AS m FROM q JOIN aq USING (i) GROUP BY id),
+dots AS (SELECT id, sum(sq.y * (2 * bit - 1)) AS d FROM sk JOIN sq USING (i) GROUP BY id)
+SELECT id, {r6('m')} AS mse_score, {r6('d')} AS qjl_dot, {r6(UNBIASED + ' * gamma * d')} AS qjl_score,
+  {r6('m + ' + UNBIASED + ' * gamma * d')} AS score FROM mse JOIN dots USING (id) JOIN gam USING (id)""",
     "search_mse": f"WITH {label_hits(sketch=False)} {HITS}",
     "search_mse_tables": f"WITH {label_hits(sketch=False)} {HITS}",
     "search_qjl": f"WITH {label_hits()} {HITS}",

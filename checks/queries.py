@@ -318,6 +318,14 @@ def query_lookup_table(spark, sf):
         "qid", "position", "byte", r6(F.col("value")).alias("value"))
 
 
+def score_one_query(spark, sf):
+    """Every vector against the mean of all vectors."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    mean = embeddings(spark, sf).agg(Summarizer.mean(vector)).first()[0].toArray()
+    scores = sr.score_rows(index(spark, sf), mean, CODEBOOK[4])
+    return scores.select("id", *[r6(F.col(c)).alias(c) for c in ("mse_score", "qjl_dot", "qjl_score", "score")])
+
+
 def hits(spark, sf, n_bits=4, **options):
     build = {"residual_sign": options.pop("residual_sign", "unbiased"), "with_qjl": options.get("with_qjl", True)}
     return sr.search(index(spark, sf, n_bits, **build), label_queries(spark, sf), CODEBOOK[n_bits], TOP_N,
@@ -400,7 +408,7 @@ QUERIES = [
     unrotate_roundtrip, codebook_step, codebook_fit, quantize_codes, quantize_histogram, pack_hex, unpack_codes,
     centroid_coordinates, dequantize, residual, residual_gamma, qjl_bits_hex, qjl_bits_values, index_build,
     index_union, index_write_read, index_job, index_stream_append, index_size_report, index_verify,
-    reconstruction_error, query_lookup_table, search_mse, search_mse_tables, search_qjl, search_qjl_1bit,
+    reconstruction_error, query_lookup_table, score_one_query, search_mse, search_mse_tables, search_qjl, search_qjl_1bit,
     search_qjl_2bit, search_qjl_reference, search_documents, search_documents_semi, search_text,
     search_questions, pca_variance, pca_components, cluster_vectors,
 ]

@@ -77,6 +77,34 @@ def query_tables(queries: DataFrame, table: Sequence[float], n_bits: int, dim: i
         "qid", F.posexplode_outer(products("embedding")).alias("position", "products"))
 
 
+def score_rows(index: DataFrame, query: Sequence[float], codebook: DataFrame | Sequence[float], *,
+               n_bits: int = 4, mse_seed: int = MSE_SEED, qjl_seed: int = QJL_SEED, with_qjl: bool = True,
+               alpha: str = "unbiased", codebook_dim: int | None = None) -> DataFrame:
+    """The index with its scores for one query: `mse_score`, with the sketch also
+    `qjl_dot` and `qjl_score`, and their sum `score`. A map over the rows."""
+    rows = np.asarray(query, dtype=float)[None, :]
+    wide = k.next_power_of_two(rows.shape[1])
+    table = centroids(codebook, codebook_dim or wide, n_bits)
+    width, sketch_width = k.check_packable(wide, n_bits), k.check_packable(wide, 1)
+    products = k.partial_products(k.rotate(rows, mse_seed)[0], n_bits, table)
+    signs = k.partial_products(k.rotate(rows, qjl_seed)[0], 1, k.SIGNS)
+
+    @F.arrow_udf("double")
+    def mse_score(packed: pa.Array) -> pa.Array:
+        return k.over_valid(packed, lambda c: pa.array(k.table_scores(k.byte_matrix(c, width), products)))
+
+    @F.arrow_udf("double")
+    def qjl_dot(bits: pa.Array) -> pa.Array:
+        return k.over_valid(bits, lambda c: pa.array(k.table_scores(k.byte_matrix(c, sketch_width), signs)))
+
+    if not with_qjl:
+        return index.withColumn("mse_score", mse_score("packed")).withColumn("score", F.col("mse_score"))
+    scale = F.lit(sketch_scale(wide, alpha))
+    return (index.withColumns({"mse_score": mse_score("packed"), "qjl_dot": qjl_dot("qjl_bits")})
+            .withColumn("qjl_score", scale * F.col("gamma").cast("double") * F.col("qjl_dot"))
+            .withColumn("score", F.col("mse_score") + F.col("qjl_score")))
+
+
 class _Best:
     """The best `n` rows per query seen so far in a task, ties by id."""
 
@@ -204,7 +232,7 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
     rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
     if not with_qjl:
         rotated = rotated.drop("qjl_rotated")
-    rows = rotated.toLocalIterator()
+    rows = rotated.toLocalIterator(prefetchPartitions=True)
     first = next(rows, None)
     if first is None:
         return _no_hits(index, queries)

@@ -69,6 +69,17 @@ def test_reference_scale(vectors_df, queries):
     assert_same(found, brute_force(index, queries, 4, 5, math.sqrt(math.pi / 2) / 64))
 
 
+def test_scores_of_one_query_rank_like_search(vectors_df, queries):
+    index = ix.build_index(vectors_df, CODEBOOK[4], 4)
+    query = queries.where("qid = 4").first().embedding
+    for options in ({}, {"with_qjl": False}, {"alpha": "reference"}):
+        scored = sr.score_rows(index, query, CODEBOOK[4], **options)
+        best = scored.orderBy(F.round("score", 9).desc(), "id").limit(8).collect()
+        found = collected(sr.search(index, queries.where("qid = 4"), CODEBOOK[4], 8, **options))[4]
+        assert [r.id for r in best] == [i for i, _ in found]
+        assert [r.score for r in best] == pytest.approx([s for _, s in found], abs=1e-9)
+
+
 def test_padded_vectors(spark, vectors_df):
     short = vectors_df.select("id", F.slice("embedding", 1, 48).alias("embedding"))
     index = ix.build_index(short, CODEBOOK[4], 4)
