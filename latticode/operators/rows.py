@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from latticode.functions import kernels as k
 
-SMALL_CAP = 10_000
 SMALL_TABLE = 200_000
-BROADCAST_FILES = 1_000_000
+BROADCAST_FILES = 500_000
 
 
 def _range_of(key: Column, bounds: list) -> Column:
@@ -38,20 +37,27 @@ def _range_bounds(df: DataFrame, key: str, ranges: int, seed: int = 7) -> list:
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
+def _ranged(df: DataFrame, key: str, ranges: int | None) -> tuple[DataFrame, list, list]:
+    """The table with a `_range` column, the bounds of the ranges, and per range
+    (number, rows): a sum per range, for which no row moves."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bounds = _range_bounds(df, key, ranges)
+    ranged = df.withColumn("_range", _range_of(F.col(key), bounds))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    return ranged, bounds, [(r["_range"], r.n) for r in counts]
+
+
 def number_rows(df: DataFrame, order_by: str, name: str = "row_index",
                 ranges: int | None = None) -> DataFrame:
     """Rows numbered from 0 in the order of a unique key (nulls first).
 
-    Ranges of the key are counted first (a sum per range, no row moves), then
-    each range is numbered on its own from the count of the ranges before it.
+    Ranges of the key are counted first, then each range is numbered on its own
+    from the count of the ranges before it.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.withColumn("_range", _range_of(F.col(order_by), _range_bounds(df, order_by, ranges)))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
-    starts = accumulate((r.n for r in counts), initial=0)
-    offsets = spark.createDataFrame([(r["_range"], s) for r, s in zip(counts, starts)],
-                                    "_range int, _start bigint")
+    ranged, _, counts = _ranged(df, order_by, ranges)
+    starts = accumulate((n for _, n in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame([(r, s) for (r, _), s in zip(counts, starts)],
+                                              "_range int, _start bigint")
     window = Window.partitionBy("_range").orderBy(order_by)
     # One row per range, so the broadcast is bounded by `ranges`.
     return (ranged.join(F.broadcast(offsets), "_range")
@@ -106,14 +112,19 @@ def sample_every(df: DataFrame, every: int, order_by: str) -> DataFrame:
     return numbered.where(F.col("_row") % every == 0).drop("_row")
 
 
-def cap_rows(df: DataFrame, limit: int | None, order_by: str) -> DataFrame:
-    """First `limit` rows in key order; None keeps all.
+def cap_rows(df: DataFrame, limit: int | None, order_by: str, ranges: int | None = None) -> DataFrame:
+    """First `limit` rows in the order of a unique key; None keeps all.
 
-    A small cap is a top-k; a large one is cut by row number, so that the rows
-    stay spread over tasks.
+    A small table is a plain top-k. A large one is first cut, by a filter on the
+    key that reaches the scan, after the range in which the limit falls; only
+    what is left is numbered.
     """
     if limit is None:
         return df
-    if limit <= SMALL_CAP:
+    if not exceeds(df, SMALL_TABLE):
         return df.orderBy(order_by).limit(limit)
-    return number_rows(df, order_by, "_row").where(F.col("_row") < limit).drop("_row")
+    _, bounds, counts = _ranged(df, order_by, ranges)
+    last = next((r for (r, _), seen in zip(counts, accumulate(n for _, n in counts)) if seen >= limit), None)
+    if last is not None and last < len(bounds):
+        df = df.where((F.col(order_by) < bounds[last]) | F.col(order_by).isNull())
+    return number_rows(df, order_by, "_row", ranges).where(F.col("_row") < limit).drop("_row")

@@ -17,6 +17,7 @@ from latticode.functions import kernels as k
 from latticode.functions import vectors
 from latticode.operators.codebook import centroids
 from latticode.operators.index import MSE_SEED, QJL_SEED
+from latticode.operators.rows import exceeds
 from latticode.sources.tables import new_shared_path
 
 # Scores are compared at this precision, so that equal codes tie (and then go
@@ -24,6 +25,8 @@ from latticode.sources.tables import new_shared_path
 SCORE_DECIMALS = 9
 # Queries per scan: their rotated matrices travel with the tasks.
 BLOCK_BYTES = 32 << 20
+# Up to this many queries are fetched at once, more partition by partition.
+COLLECTED_QUERIES = 1_000
 # Up to this many query blocks are one lazy plan; more are written block by block.
 INLINE_BLOCKS = 8
 # Hits are broadcast or looked up by id only below these counts.
@@ -232,7 +235,8 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
     rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
     if not with_qjl:
         rotated = rotated.drop("qjl_rotated")
-    rows = rotated.toLocalIterator(prefetchPartitions=True)
+    many = exceeds(queries, COLLECTED_QUERIES)
+    rows = rotated.toLocalIterator(prefetchPartitions=True) if many else iter(rotated.collect())
     first = next(rows, None)
     if first is None:
         return _no_hits(index, queries)

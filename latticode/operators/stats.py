@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -31,39 +31,34 @@ def describe(df: DataFrame, value: str, interpolation: str = "nearest",
     """
     if interpolation not in ("nearest", "linear"):
         raise ValueError("interpolation must be 'nearest' or 'linear'")
-    histogram = df.groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("n"))
-    everything, upto = Window.partitionBy(), Window.orderBy("v")
-    known = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
-    h = (histogram.withColumn("known", known)
-         .withColumn("total", F.sum("known").over(everything))
-         .withColumn("mean", F.sum(F.col("v") * F.col("known").cast("double")).over(everything) / F.col("total"))
-         .withColumn("seen", F.sum("known").over(upto)))
 
-    def at(place):
-        return F.min(F.when((F.col("known") > 0) & (F.col("seen") > place), F.col("v"))).cast("double")
+    def at(place: str) -> str:
+        return f"double(min(v) FILTER (WHERE known > 0 AND seen > {place}))"
 
-    def quantile(q):
-        place = (F.col("total") - 1) * F.lit(float(q))
+    def quantile(q: float) -> str:
+        place = f"(total - 1) * double({q})"
         if interpolation == "nearest":
-            return at(F.floor(place + 0.5))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        share = F.max(place - F.floor(place))
-        return low + (high - low) * share
+            return at(f"floor({place} + 0.5)")
+        low, high = at(f"floor({place})"), at(f"ceil({place})")
+        return f"{low} + ({high} - {low}) * max({place} - floor({place}))"
 
-    spread = F.sum(F.col("known") * F.pow(F.col("v") - F.col("mean"), 2))
-    stats = [
-        ("count", F.sum("known").cast("double")),
-        ("null_count", F.sum(F.col("n") - F.col("known")).cast("double")),
-        ("mean", F.max("mean")),
-        ("std", F.sqrt(spread / F.nullif(F.max("total") - 1, F.lit(0)))),
-        ("min", F.min("v").cast("double")),
-        *[(f"{q:.0%}", quantile(q)) for q in quantiles],
-        ("max", F.max("v").cast("double")),
-    ]
-    row = h.agg(*[F.coalesce(e, F.lit(0.0)).alias(n) if n in ("count", "null_count") else e.alias(n)
-                  for n, e in stats])
+    stats = {
+        "count": "double(coalesce(sum(known), 0))",
+        "null_count": "double(coalesce(sum(n - known), 0))",
+        "mean": "max(mean)",
+        "std": "sqrt(sum(known * pow(v - mean, 2)) / nullif(max(total) - 1, 0))",
+        "min": "double(min(v))",
+        **{f"{q:.0%}": quantile(q) for q in quantiles},
+        "max": "double(max(v))",
+    }
+    histogram = (df.groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("n"))
+                 .selectExpr("v", "n", "if(v IS NULL, 0, n) AS known"))
+    cumulated = histogram.selectExpr(
+        "*", "sum(known) OVER () AS total", "sum(known) OVER (ORDER BY v) AS seen",
+        "sum(v * double(known)) OVER () / sum(known) OVER () AS mean")
+    row = cumulated.agg(*[F.expr(e).alias(n) for n, e in stats.items()])
     return row.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n, _ in stats])))
+        F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in stats])))
 
 
 def storage_report(index: DataFrame) -> DataFrame:

@@ -42,15 +42,18 @@ def test_numbering_is_not_one_partition(shuffled):
     assert "SinglePartition" not in text and "hashpartitioning(_range" in text
 
 
-def test_caps(shuffled, monkeypatch):
+def test_caps(spark, tmp_path, shuffled, monkeypatch):
     small = rw.cap_rows(shuffled, 10, "k")
     assert "TakeOrderedAndProject" in plan(small)
     assert sorted(r.k for r in small.collect()) == list(range(0, 30, 3))
     assert rw.cap_rows(shuffled, None, "k") is shuffled
-    monkeypatch.setattr(rw, "SMALL_CAP", 5)
-    large = rw.cap_rows(shuffled, 10, "k")
-    assert "TakeOrderedAndProject" not in plan(large)
-    assert sorted(r.k for r in large.collect()) == list(range(0, 30, 3))
+    monkeypatch.setattr(rw, "SMALL_TABLE", 5)
+    shuffled.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for limit in (0, 1, 10, 125, 126, 999, 1000, 5000):
+        assert sorted(r.k for r in rw.cap_rows(table, limit, "k", ranges=8).collect()) == list(range(0, 3000, 3))[:limit]
+    text = plan(rw.cap_rows(table, 10, "k", ranges=8))
+    assert "TakeOrderedAndProject" not in text and "LessThan(k," in text
 
 
 def test_only_small_tables_are_spread(shuffled):
