@@ -17,7 +17,6 @@ from latticode.functions import kernels as k
 from latticode.functions import vectors
 from latticode.operators.codebook import centroids
 from latticode.operators.index import MSE_SEED, QJL_SEED
-from latticode.operators.rows import exceeds
 from latticode.sources.tables import new_shared_path
 
 # Scores are compared at this precision, so that equal codes tie (and then go
@@ -231,33 +230,43 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
     pair per row. Beyond `INLINE_BLOCKS` blocks the hits of a block are written
     to the shared folder before the next one is fetched.
     """
-    spark = index.sparkSession
     rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
     if not with_qjl:
         rotated = rotated.drop("qjl_rotated")
-    many = exceeds(queries, COLLECTED_QUERIES)
-    rows = rotated.toLocalIterator(prefetchPartitions=True) if many else iter(rotated.collect())
-    first = next(rows, None)
-    if first is None:
-        return _no_hits(index, queries)
-    wide = len(first.rotated)
-    table = centroids(codebook, codebook_dim or wide, n_bits)
-    scale = sketch_scale(wide, alpha)
-    block_rows = block_rows or max(1, BLOCK_BYTES // (wide * 8 * (2 if with_qjl else 1)))
-
-    blocks, written = [], None
-    for block in batched(chain([first], rows), block_rows):
-        blocks.append(rank_hits(_score_block(
-            index, [r.qid for r in block], np.array([r.rotated for r in block]),
-            np.array([r.qjl_rotated for r in block]) if with_qjl else None,
-            table, n_bits, scale, top_n, queries.schema["qid"], method), top_n, max(1, MERGE_GROUPS // len(block))))
-        if len(blocks) > INLINE_BLOCKS:
-            written = written or new_shared_path(spark, "hits")
-            reduce(DataFrame.unionByName, blocks).write.mode("append").parquet(written)
-            blocks = []
+    hits, written = [], None
+    for block in _query_blocks(rotated, block_rows):
+        main = np.array([r["rotated"] for r in block])
+        wide = main.shape[1]
+        hits.append(rank_hits(_score_block(
+            index, [r["qid"] for r in block], main,
+            np.array([r["qjl_rotated"] for r in block]) if with_qjl else None,
+            centroids(codebook, codebook_dim or wide, n_bits), n_bits, sketch_scale(wide, alpha), top_n,
+            queries.schema["qid"], method), top_n, max(1, MERGE_GROUPS // len(block))))
+        if len(hits) > INLINE_BLOCKS:
+            written = written or new_shared_path(index.sparkSession, "hits")
+            reduce(DataFrame.unionByName, hits).write.mode("append").parquet(written)
+            hits = []
     if written:
-        blocks.append(spark.read.parquet(written))
-    return reduce(DataFrame.unionByName, blocks)
+        hits.append(index.sparkSession.read.parquet(written))
+    return reduce(DataFrame.unionByName, hits) if hits else _no_hits(index, queries)
+
+
+def _query_blocks(rotated: DataFrame, block_rows: int | None) -> Iterator[tuple]:
+    """Rotated queries in blocks of `block_rows`, or of BLOCK_BYTES.
+
+    A short query table is fetched in one job; a longer one streams to the
+    driver partition by partition.
+    """
+    head = rotated.limit(COLLECTED_QUERIES + 1).toArrow().to_pylist()
+    if len(head) > COLLECTED_QUERIES:
+        rows = rotated.toLocalIterator(prefetchPartitions=True)
+    else:
+        rows = iter(head)
+    first = next(rows, None)
+    if first is not None:
+        matrices = len(rotated.columns) - 1
+        size = block_rows or BLOCK_BYTES // (8 * len(first["rotated"]) * matrices)
+        yield from batched(chain([first], rows), max(1, size))
 
 
 def _no_hits(index: DataFrame, queries: DataFrame) -> DataFrame:

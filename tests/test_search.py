@@ -94,7 +94,8 @@ def test_blocks_of_queries(vectors_df, queries, monkeypatch, inline):
     whole = collected(sr.search(index, queries, CODEBOOK[4], 6))
     monkeypatch.setattr(sr, "INLINE_BLOCKS", inline)
     assert collected(sr.search(index, queries, CODEBOOK[4], 6, block_rows=1)) == whole
-    assert collected(sr.search(index, queries, CODEBOOK[4], 6, block_rows=4)) == whole
+    monkeypatch.setattr(sr, "COLLECTED_QUERIES", 2)
+    assert collected(sr.search(index, queries.repartition(3), CODEBOOK[4], 6, block_rows=4)) == whole
 
 
 def test_small_chunks_keep_the_best(vectors_df, queries, monkeypatch):
