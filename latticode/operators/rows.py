@@ -71,15 +71,16 @@ def exceeds(df: DataFrame, rows: int) -> bool:
     return bool(df.select(F.lit(1)).offset(rows).take(1))
 
 
-def spread_small(df: DataFrame, rows: int = SMALL_TABLE) -> DataFrame:
-    """A table of at most `rows` rows over all cores; a larger one as it is.
+def spread_small(df: DataFrame, key: str, rows: int = SMALL_TABLE) -> DataFrame:
+    """A table of at most `rows` rows spread by key over all cores; a larger one
+    as it is.
 
     A small file is often one row group, so that one task would do all costly
     work per row. A large table has enough row groups and is never shuffled here.
     """
     if exceeds(df, rows):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def sample_file_rows(df: DataFrame, every: int) -> DataFrame:

@@ -16,16 +16,17 @@ from latticode.sources import tables
 def create_index(spark: SparkSession, source: str, base: str, codebook: DataFrame, n_bits: int = 4, *,
                  mse_seed: int = ix.MSE_SEED, qjl_seed: int = ix.QJL_SEED, with_qjl: bool = False,
                  full_data: bool = False, max_rows: int | None = None, mode: str = "errorifexists",
-                 rows_per_file: int | None = None, normalize: bool = True,
+                 rows_per_file: int | None = None, files: str | int = "as_is", normalize: bool = True,
                  residual_sign: str = "unbiased") -> str:
     """Embeddings Parquet to index Parquet; returns the path, which is named
-    after the parameters."""
+    after the parameters. An index is several times smaller than its input, so
+    for a large one `files` should be a number of full-sized output files."""
     embeddings = cap_rows(tables.read_table(spark, source, ["id", "embedding"]), max_rows, "id")
     index = ix.build_index(embeddings, codebook, n_bits, mse_seed=mse_seed, qjl_seed=qjl_seed,
                            with_qjl=with_qjl, full_data=full_data, normalize=normalize,
                            residual_sign=residual_sign)
     path = tables.index_path(base, n_bits, mse_seed, qjl_seed if with_qjl else None, full_data)
-    tables.write_table(index, path, mode=mode, rows_per_file=rows_per_file)
+    tables.write_table(index, path, mode=mode, rows_per_file=rows_per_file, files=files)
     return path
 
 

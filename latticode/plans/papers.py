@@ -37,7 +37,7 @@ def embed(papers: DataFrame, encoder: Encoder, num_rows: int | None = None,
     The filter runs before the encoder, and only a small table is shuffled, to
     put all cores to work on it.
     """
-    texts = contents(spread_small(papers), num_rows, min_length)
+    texts = contents(spread_small(papers, "id"), num_rows, min_length)
     return texts.withColumn("embedding", encoder(F.col("content")))
 
 

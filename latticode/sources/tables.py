@@ -53,16 +53,22 @@ def conform(df: DataFrame, schema: str | StructType) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, *, schema: str | StructType | None = None,
                 mode: str = "errorifexists", partition_by: list[str] | None = None,
-                rows_per_file: int | None = None, files: str = "as_is") -> None:
-    """Parquet sink. `files="rebalance"` evens out small or skewed output with
-    one shuffle whose sizes Spark picks at run time; "as_is" adds no shuffle.
+                rows_per_file: int | None = None, files: str | int = "as_is") -> None:
+    """Parquet sink.
+
+    `files` "as_is" writes a file per task. A number joins input splits to that
+    many tasks without a shuffle, for jobs whose output is much smaller than
+    their input. "rebalance" evens out small or skewed output with one shuffle
+    whose sizes Spark picks at run time. `rows_per_file` bounds files from above.
     """
     if schema is not None:
         df = conform(df, schema)
-    if files == "rebalance":
+    if isinstance(files, int):
+        df = df.coalesce(files)
+    elif files == "rebalance":
         df = df.hint("rebalance")
     elif files != "as_is":
-        raise ValueError("files must be 'as_is' or 'rebalance'")
+        raise ValueError("files must be 'as_is', 'rebalance' or a number")
     writer = df.write.mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -102,9 +108,9 @@ INDEX_KEYS = ["n_bits", "mse_seed", "qjl_seed"]
 
 
 def write_index(index: DataFrame, path: str, mode: str = "errorifexists",
-                rows_per_file: int | None = None) -> None:
+                rows_per_file: int | None = None, files: str | int = "as_is") -> None:
     """Index partitioned by its parameters, so that several can share a path."""
-    write_table(index, path, mode=mode, partition_by=INDEX_KEYS, rows_per_file=rows_per_file)
+    write_table(index, path, mode=mode, partition_by=INDEX_KEYS, rows_per_file=rows_per_file, files=files)
 
 
 def read_index(spark: SparkSession, path: str, n_bits: int, mse_seed: int,

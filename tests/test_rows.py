@@ -57,8 +57,8 @@ def test_caps(spark, tmp_path, shuffled, monkeypatch):
 
 
 def test_only_small_tables_are_spread(shuffled):
-    assert "RoundRobin" in plan(rw.spread_small(shuffled))
-    assert rw.spread_small(shuffled, rows=10) is shuffled
+    assert "hashpartitioning(k" in plan(rw.spread_small(shuffled, "k"))
+    assert rw.spread_small(shuffled, "k", rows=10) is shuffled
 
 
 def test_file_order_sample_is_a_map(spark, tmp_path, shuffled):

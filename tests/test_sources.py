@@ -48,6 +48,8 @@ def test_fixed_schema_and_file_sizes(spark, tmp_path):
         tables.write_table(df, str(tmp_path / "t"))
     tables.write_table(df.repartition(20), str(tmp_path / "r"), files="rebalance")
     assert len(spark.read.parquet(str(tmp_path / "r")).inputFiles()) < 20
+    tables.write_table(df.repartition(20), str(tmp_path / "c"), files=3)
+    assert len(spark.read.parquet(str(tmp_path / "c")).inputFiles()) == 3
     with pytest.raises(ValueError):
         tables.write_table(df, str(tmp_path / "x"), files="many")
 
