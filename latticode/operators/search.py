@@ -34,7 +34,7 @@ LOOKUP_HITS = 1_000
 # A single query's hits are merged in this many groups before the final rank.
 MERGE_GROUPS = 32
 # Score cells computed at a time in a task.
-CELLS = 1 << 22
+CELLS = 1 << 20
 # Above this many queries a matrix product beats per-query lookup tables.
 TABLE_QUERIES = 4
 
@@ -166,11 +166,12 @@ def _score_block(index: DataFrame, qids: Sequence, rotated: np.ndarray, qjl_rota
         return np.stack(columns, axis=1)
 
     def scores_by_product(packed, gamma, signs):
-        score = k.unpack(packed, n_bits, table) @ rotated.T
+        rows = k.unpack(packed, n_bits, table)
         if with_qjl:
-            score += (scale * gamma)[:, None] * (k.unpack(signs, 1, k.SIGNS) @ qjl_rotated.T)
-        return score
+            rows = np.hstack([rows, (scale * gamma)[:, None] * k.unpack(signs, 1, k.SIGNS)])
+        return rows @ queries
 
+    queries = np.hstack([rotated, qjl_rotated]).T if with_qjl else rotated.T
     tables = [(k.partial_products(rotated[i], n_bits, table),
                k.partial_products(qjl_rotated[i], 1, k.SIGNS) if with_qjl else None)
               for i in range(len(qids))] if by_table else []
@@ -222,26 +223,27 @@ def search(index: DataFrame, queries: DataFrame, codebook: DataFrame | Sequence[
            method: str = "auto", block_rows: int | None = None) -> DataFrame:
     """Hits (qid, id, score, rank): the best `top_n` rows of the index per query.
 
-    `queries` is (qid, embedding); null queries have no hits, and with `dim` any
-    other dimension is an error. The queries are
-    rotated by Spark and come to the driver one bounded block at a time. Every
-    block is one scan of the index in which a partition keeps its own best rows
-    per query, so a shuffle sees top_n rows per query and partition, never a
-    pair per row. Beyond `INLINE_BLOCKS` blocks the hits of a block are written
-    to the shared folder before the next one is fetched.
+    `queries` is (qid, embedding) with distinct qids; null queries have no hits,
+    and with `dim` any other dimension is an error. The queries are rotated by
+    Spark and come to the driver one bounded block at a time. Every block is one
+    scan of the index in which a partition keeps its own best rows per query, so
+    a shuffle sees top_n rows per query and partition, never a pair per row.
+    Beyond `INLINE_BLOCKS` blocks the hits are written to the shared folder
+    before more queries are fetched.
     """
     rotated = rotate_queries(queries, dim, mse_seed, qjl_seed)
     if not with_qjl:
         rotated = rotated.drop("qjl_rotated")
-    hits, written = [], None
+    hits, written, table = [], None, None
     for block in _query_blocks(rotated, block_rows):
         main = np.array([r["rotated"] for r in block])
         wide = main.shape[1]
+        table = table or centroids(codebook, codebook_dim or wide, n_bits)
         hits.append(rank_hits(_score_block(
             index, [r["qid"] for r in block], main,
             np.array([r["qjl_rotated"] for r in block]) if with_qjl else None,
-            centroids(codebook, codebook_dim or wide, n_bits), n_bits, sketch_scale(wide, alpha), top_n,
-            queries.schema["qid"], method), top_n, max(1, MERGE_GROUPS // len(block))))
+            table, n_bits, sketch_scale(wide, alpha), top_n, queries.schema["qid"], method),
+            top_n, max(1, MERGE_GROUPS // len(block))))
         if len(hits) > INLINE_BLOCKS:
             written = written or new_shared_path(index.sparkSession, "hits")
             reduce(DataFrame.unionByName, hits).write.mode("append").parquet(written)
