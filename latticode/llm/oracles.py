@@ -1,7 +1,7 @@
 """The text queries as SQL for DuckDB, where SQL can express them."""
 
 #: Words of a text, as in every contract; null has none.
-WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '')"
+WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
 
 OP8 = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
