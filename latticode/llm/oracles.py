@@ -28,4 +28,17 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-SQL = {"op8_mixing": OP8, "op9_exact_dedup": OP9}
+OP6 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p WHERE i + 34 <= len(w)),
+m AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS i FROM h SEMI JOIN m USING (h)),
+k AS (SELECT p.doc_id, count(*) AS n_kept, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept
+      FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+SQL = {"op6_substring_dedup": OP6, "op8_mixing": OP8, "op9_exact_dedup": OP9}

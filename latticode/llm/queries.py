@@ -1,9 +1,9 @@
 """The queries of the text operators over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticode.llm import exact_dedup, mixing, quality_rules, sharding
+from latticode.llm import backoff_lm, exact_dedup, mixing, quality_rules, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,6 +25,23 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "base_failed", "kept", "ratio")
 
 
+def _fold(spark_id: str = "doc_id") -> Column:
+    """The fold of a document: the CRC-32 of its id as text, modulo 5."""
+    return F.crc32(F.encode(F.coalesce(F.col(spark_id).cast("string"), F.lit("")), "UTF-8")) % 5
+
+
+def op5_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probabilities of all documents, learned from four folds of five."""
+    return backoff_lm.score_documents(_documents(spark, sf), _fold() != 1).select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without passages of 35 words that occur elsewhere."""
+    return substring_dedup.remove_repeats(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a mix at 150% takes from each document."""
     return mixing.mixed_sizes(_documents(spark, sf)).select(
@@ -37,4 +54,4 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = [op1_sharding, op2_quality_rules, op8_mixing, op9_exact_dedup]
+QUERIES = [op1_sharding, op2_quality_rules, op5_backoff_lm, op6_substring_dedup, op8_mixing, op9_exact_dedup]
