@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticode.llm import backoff_lm, exact_dedup, mixing, quality_rules, sharding, substring_dedup
+from latticode.llm import backoff_lm, exact_dedup, mixing, pieces, quality_rules, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +42,17 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
+def _model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and decoded text of every document."""
+    return pieces.encode_documents(_documents(spark, sf), _model()).withColumnRenamed("id", "doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a mix at 150% takes from each document."""
     return mixing.mixed_sizes(_documents(spark, sf)).select(
@@ -54,4 +65,4 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = [op1_sharding, op2_quality_rules, op5_backoff_lm, op6_substring_dedup, op8_mixing, op9_exact_dedup]
+QUERIES = [op1_sharding, op2_quality_rules, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup]
