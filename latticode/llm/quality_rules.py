@@ -81,12 +81,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """One row, `ratios`: per bucket log(p_target / p_raw), both counts plus 1.
 
     The raw corpus is all documents, the target those whose id `trusted`
-    (column `id`) has; nothing is sampled. Counts are added up before they are
-    exchanged, so a shuffle sees a row per bucket and task.
+    (column `id`) has; nothing is sampled. Ids and texts are joined by a merge
+    join at every size, as both grow with the corpus. Counts are added up
+    before they are exchanged, so that shuffle sees a row per bucket and task.
     """
     ids = trusted.where(F.col("id").isNotNull()).select(F.col("id").alias("__id")).distinct()
     marked = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(
-        ids, F.col("__doc") == F.col("__id"), "left")
+        ids.hint("merge"), F.col("__doc") == F.col("__id"), "left")
     hashed = marked.select(F.col("__id").isNotNull().alias("good"),
                            F.transform(words_of("__text"), lambda w: F.xxhash64(w)).alias("hashes"))
     grams = hashed.select("good", F.explode(buckets(F.col("hashes"), n)).alias("bucket"))
