@@ -31,21 +31,31 @@ def _grams(hashes: Column, n: int) -> Column:
     out = hashes
     for k in range(1, n):
         out = F.zip_with(out, _next(hashes, k), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.slice(out, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0))) if n > 1 else out
+    return F.array_compact(out)
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside three-word windows that the text has twice or more.
+def with_repeats(docs: DataFrame, hashes: str) -> DataFrame:
+    """The documents with `__repeated`: words inside three-word windows that
+    the text has twice or more.
 
-    Windows are sorted with their places; neighbours that are equal give the
-    places, and each place covers three words.
+    Sorting the windows shows which occur twice. Their places are looked up in
+    that list while it is short, and else found by sorting windows with places;
+    each place covers three words. Every step is a column of its own, as an
+    array that a lambda refers to would be made again for every element.
     """
-    windows = _grams(hashes, 3)
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    equal = F.zip_with(placed, _next(placed, 1), lambda a, b: F.when(
-        a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
-    covered = F.size(F.array_distinct(F.flatten(F.filter(equal, lambda x: x.isNotNull()))))
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(0).cast("long")
+    few, name = 24, F.col
+    sorted_ = docs.withColumn("__windows", _grams(name(hashes), 3)).withColumn("__sorted", F.sort_array("__windows"))
+    twice = F.zip_with("__sorted", _next(name("__sorted"), 1), lambda a, b: F.when(a == b, a))
+    listed = sorted_.withColumn("__twice", F.array_distinct(F.array_compact(twice)))
+    looked = F.array_compact(F.transform("__windows", lambda w, i: F.when(F.array_contains("__twice", w), i)))
+    placed = F.array_sort(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    pairs = F.zip_with(placed, _next(placed, 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    places = (F.when(F.size("__twice") == 0, F.array().cast("array<int>")).when(F.size("__twice") <= few, looked)
+              .otherwise(F.flatten(F.array_compact(pairs))))
+    covered = F.flatten(F.transform("__places", lambda i: F.array(i, i + 1, i + 2)))
+    return listed.withColumn("__places", places).withColumn(
+        "__repeated", F.size(F.array_distinct(covered)).cast("long")).drop(
+        "__windows", "__sorted", "__twice", "__places")
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -62,11 +72,11 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     hashed = docs.withColumn("__hashes", F.transform(words_of(text_col), lambda w: F.xxhash64(w)))
     hashes = F.col("__hashes")
-    ruled = hashed.select(
+    ruled = with_repeats(hashed, "__hashes").select(
         "*", F.size(hashes).cast("long").alias("n_words"), _without(text, BLANKS).cast("long").alias("word_chars"),
         (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeated_words(hashes).alias("n_repeat_words"))
+        F.col("__repeated").alias("n_repeat_words")).drop("__repeated")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return ruled.withColumn("base_failed", failed)
 
