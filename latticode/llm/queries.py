@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticode.llm import backoff_lm, exact_dedup, mixing, pieces, quality_rules, sharding, substring_dedup
+from latticode.llm import backoff_lm, exact_dedup, jaccard_join, mixing, pieces, quality_crf, quality_rules, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +30,20 @@ def _fold(spark_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(spark_id).cast("string"), F.lit("")), "UTF-8")) % 5
 
 
+def field_of(docs: DataFrame, sf: str) -> quality_crf.Field:
+    """The field learned from labelled documents outside fold 0."""
+    labels = docs.sparkSession.read.parquet(f"{sf}/labels.parquet").where(_fold() != 0)
+    return quality_crf.train(docs, labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good")))
+
+
+def op3_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of all documents by a field over their lines."""
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return quality_crf.with_quality(docs, field_of(docs, sf), name="score").select(
+        "doc_id", (_fold() == 0).alias("held_out"), "score",
+        (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Log probabilities of all documents, learned from four folds of five."""
     return backoff_lm.score_documents(_documents(spark, sf), _fold() != 1).select(
@@ -65,4 +79,10 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = [op1_sharding, op2_quality_rules, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup]
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles agree to 85% or more."""
+    return jaccard_join.near_duplicates(_documents(spark, sf), n=4, percent=85).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+QUERIES = [op1_sharding, op2_quality_rules, op3_quality_crf, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup, op10_jaccard_join]
