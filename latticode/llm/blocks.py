@@ -35,41 +35,42 @@ def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mail(keys: np.ndarray, shards: int, sender: int, *payload: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Rows that carry sorted keys, and a value for each, to the keys' shards."""
-    owner = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    cuts = np.searchsorted(owner, np.arange(shards + 1, dtype=np.uint64))
+    cuts = owner_cuts(keys, shards)
     for s in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[s], cuts[s + 1]
         yield int(s), sender, pack(keys[a:b], *[p[a:b] for p in payload])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length; small integers are compressed, hashes would not be."""
-    head = np.array([len(arrays[0]), *[np.frombuffer(a.dtype.str.ljust(4).encode(), np.int32)[0] for a in arrays]],
-                    np.int64)
-    parts = [np.array([len(arrays)], np.int64).tobytes(), head.tobytes()]
+    """Arrays as bytes; all but hashes (unsigned 64-bit) are compressed."""
+    parts = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         raw = np.ascontiguousarray(a).tobytes()
         body = raw if a.dtype == np.uint64 else pa.compress(raw, "zstd", asbytes=True)
-        parts += [np.array([len(body)], np.int64).tobytes(), body]
+        parts += [a.dtype.str.ljust(8).encode(), np.array([len(a), len(body)], np.int64).tobytes(), body]
     return b"".join(parts)
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
     """The arrays of `pack`."""
-    k = int(np.frombuffer(body, np.int64, 1)[0])
-    head = np.frombuffer(body, np.int64, k + 1, 8)
-    out, at = [], 8 * (k + 2)
-    for code in head[1:]:
-        dtype = np.dtype(np.int32(code).tobytes().decode().strip())
-        size = int(np.frombuffer(body, np.int64, 1, at)[0])
-        raw = body[at + 8:at + 8 + size]
+    out, at = [], 8
+    for _ in range(int(np.frombuffer(body, np.int64, 1)[0])):
+        dtype = np.dtype(body[at:at + 8].decode().strip())
+        length, size = np.frombuffer(body, np.int64, 2, at + 8).tolist()
+        raw = body[at + 24:at + 24 + size]
         if dtype != np.uint64:
-            raw = pa.decompress(raw, int(head[0]) * dtype.itemsize, "zstd", asbytes=True)
+            raw = pa.decompress(raw, length * dtype.itemsize, "zstd", asbytes=True)
         out.append(np.frombuffer(raw, dtype))
-        at += 8 + size
+        at += 24 + size
     return out
 
 
+def owner_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where sorted keys change their shard: shard s has cuts[s]:cuts[s + 1]."""
+    owner = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(owner, np.arange(shards + 1, dtype=np.uint64))
+
+
 def letters(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, MAIL_ARROW)], schema=MAIL_ARROW)

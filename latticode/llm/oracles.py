@@ -57,4 +57,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
 """
 
-SQL = {"op10_jaccard_join": OP10, "op6_substring_dedup": OP6, "op8_mixing": OP8, "op9_exact_dedup": OP9}
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+p AS (SELECT doc_id, t, unnest(range(0, CAST(len(t) / 2 AS BIGINT))) AS i FROM d),
+h AS (SELECT doc_id, i, md5(substr(t, 2 * i + 1, 100)) AS h FROM p WHERE 2 * i + 100 <= len(t)),
+m AS (SELECT h, min(doc_id) AS f FROM h GROUP BY h HAVING count(*) > 1),
+s AS (SELECT DISTINCT doc_id, i FROM h JOIN m USING (h) WHERE f < doc_id),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM s),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM
+      (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS c, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS n
+      FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+k AS (SELECT o.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+             string_agg(substr(t, 2 * c + 1, 2 * (a - c)) || CASE WHEN k = n THEN substr(t, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+      FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(len(t) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, t))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+SQL = {"op4_suffix_dedup": OP4, "op10_jaccard_join": OP10, "op6_substring_dedup": OP6, "op8_mixing": OP8, "op9_exact_dedup": OP9}

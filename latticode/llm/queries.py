@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticode.llm import backoff_lm, exact_dedup, jaccard_join, mixing, pieces, quality_crf, quality_rules, sharding, substring_dedup
+from latticode.llm import backoff_lm, exact_dedup, jaccard_join, mixing, pieces, quality_crf, quality_rules, sharding, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op3_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without strings of 50 bytes that an earlier document has."""
+    return suffix_dedup.remove_earlier_repeats(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 def op5_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Log probabilities of all documents, learned from four folds of five."""
     return backoff_lm.score_documents(_documents(spark, sf), _fold() != 1).select(
@@ -85,4 +90,4 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = [op1_sharding, op2_quality_rules, op3_quality_crf, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup, op10_jaccard_join]
+QUERIES = [op1_sharding, op2_quality_rules, op3_quality_crf, op4_suffix_dedup, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup, op10_jaccard_join]
