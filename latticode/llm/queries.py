@@ -61,7 +61,7 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
-def _model() -> str:
+def model_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -69,7 +69,7 @@ def _model() -> str:
 
 def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and decoded text of every document."""
-    return pieces.encode_documents(_documents(spark, sf), _model()).withColumnRenamed("id", "doc_id")
+    return pieces.encode_documents(_documents(spark, sf), model_path()).withColumnRenamed("id", "doc_id")
 
 
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
