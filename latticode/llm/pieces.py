@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: the mark of a space, the ends of an encoding.
 SPACE_MARK = "▁"
 CACHED_WORDS = 300_000
+SHORT_WORD = 40
+NEVER = float("inf")
 BATCH_TEXTS = 256
 
 
@@ -44,10 +46,42 @@ class Pieces:
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.id):
             raise ValueError("a piece has a space inside")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        # what an id decodes to by itself: all but bytes inside longer characters
+        self.alone = ["" if i in self.silent else " ⁇ " if i == self.unknown else
+                      chr(self.byte[i]) if self.byte.get(i, 128) < 128 else p for i, p in enumerate(self.piece)]
+        self.high = {i for i, b in self.byte.items() if b >= 128}
+        self.number = [str(i) for i in range(n)]
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one word by the agenda: entries are (rank, left, right, size),
-        and an entry whose size is no longer that of its halves is passed over."""
+        """Ids of one word by the agenda of its adjacent pairs."""
+        part = self._short(word) if len(word) <= SHORT_WORD else self._long(word)
+        ids = []
+        for p in part:
+            if p in self.id:
+                ids.append(self.id[p])
+            else:
+                ids += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown]
+        return tuple(ids)
+
+    def _short(self, word: str) -> list[str]:
+        """The agenda as a list of ranks, one per pair: its least is looked up."""
+        rank, part = self.rank.get, list(word)
+        agenda = [rank(word[i:i + 2], NEVER) for i in range(len(word) - 1)]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            one = part[i] + part[i + 1]
+            part[i:i + 2] = one,
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(one + part[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(part[i - 1] + one, NEVER)
+        return part
+
+    def _long(self, word: str) -> list[str]:
+        """The agenda as a heap of (rank, left, right, size); an entry whose
+        size is no longer that of its halves is passed over."""
         rank, n = self.rank.get, len(word)
         part, left, right = list(word), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(r, i, i + 1, 2) for i in range(n - 1) if (r := rank(word[i:i + 2])) is not None]
@@ -67,48 +101,48 @@ class Pieces:
             before = left[i]
             if before >= 0 and (r := rank(part[before] + one)) is not None:
                 heappush(agenda, (r, before, i, size + len(part[before])))
-        ids = []
-        for p in part:
-            if p in self.id:
-                ids.append(self.id[p])
-            elif p:
-                ids += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown]
-        return tuple(ids)
+        return [p for p in part if p]
 
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word; the cache is emptied when it is full."""
-        found = self.known.get(word)
-        if found is None:
-            found = self.merge(word)
-            if len(word) < 64:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+        """Ids of a word behind a mark. Known words are kept in two halves: when
+        the newer one is full the older one is dropped."""
+        found = self.old.get(word) or self.merge(SPACE_MARK + word)
+        if len(word) < 64:
+            if len(self.known) >= CACHED_WORDS:
+                self.old, self.known = self.known, {}
+            self.known[word] = found
         return found
 
     def words(self, text: str) -> list[str]:
-        """The text cut before every first mark of a run of spaces."""
+        """The text cut before every first mark of a run of spaces, without
+        that mark; the whole has one more space in front."""
         if not text:
             return []
-        marked = SPACE_MARK + text.replace(" ", SPACE_MARK)
-        out, mark = [], ""
-        for part in marked[1:].split(SPACE_MARK):
-            mark += SPACE_MARK
+        parts = text.replace(SPACE_MARK, " ").split(" ")
+        if "" not in parts:
+            return parts
+        out, marks = [], ""
+        for part in parts:
             if part:
-                out.append(mark + part)
-                mark = ""
-        return out + [mark] if mark else out
+                out.append(marks + part)
+                marks = ""
+            else:
+                marks += SPACE_MARK
+        return out + [marks[1:]] if marks else out
 
     def encode(self, text: str) -> list[int]:
-        out, known = [], self.known.get
+        out = []
         for w in self.words(text):
-            out += known(w) or self.word(w)
+            out += self.known.get(w) or self.word(w)
         out.append(self.end)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes read as UTF-8 (each wrong byte a U+FFFD), marks
         made spaces, the one put in front taken off."""
+        if self.high.isdisjoint(ids):
+            text = "".join([self.alone[i] for i in ids])
+            return (text[1:] if text.startswith(SPACE_MARK) else text).replace(SPACE_MARK, " ")
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte:
@@ -173,7 +207,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 back = own.library.decode(true, num_threads=1)
                 agreed = [a == b and own.decode(b) == c for a, b, c in zip(ids, true, back)]
                 out = [part["id"], pa.array(map(len, true), pa.int64()),
-                       pa.array([digest(" ".join(map(str, i))) for i in true]), pa.array(map(digest, back)),
+                       pa.array([digest(" ".join([own.number[k] for k in i])) for i in true]), pa.array(map(digest, back)),
                        pa.array(agreed)]
                 out += [pa.array(true, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(out, names)
