@@ -1,9 +1,9 @@
 """Near duplicates by a prefix-tree join of shingle sets.
 
-All documents order their shingles alike, rare ones first by a fixed-size
-table of counts. Sets that reach the threshold share one of their first
-shingles, so these first shingles, sent to shards, join documents to groups
-that hold every link. Inside a group the ordered sets are stored in a trie.
+All documents order their shingles alike, rare ones first by counts over the
+corpus. Sets that reach the threshold share one of their first shingles, so
+those first shingles that two sets have join documents to groups that hold
+every link. Inside a group the sets, in one order again, are stored in a trie.
 A document goes down the trie level by level: the overlap with a common
 beginning is counted once for all sets below, and a subtree is left when what
 remains of either set cannot reach the threshold, or when all of it is linked
@@ -24,10 +24,9 @@ from latticode.llm.components import components
 from latticode.llm.tables import written
 from latticode.llm.words import Words, chunks, mix, run_hashes, text_bytes, words
 
-#: Counters behind the common order. Results do not depend on them, only the
-#: length of the groups does.
-COUNTERS = 1 << 20
-SLICES = 16
+#: Counters per byte of text behind the common order: many more than shingles,
+#: so few share one. Results do not depend on them, only the groups' sizes do.
+COUNTERS_PER_BYTE = 5
 #: Most sets of a group that one task compares; larger groups are cut.
 PIECE = 2048
 
@@ -55,11 +54,6 @@ def digest(s: np.ndarray) -> bytes | None:
     return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def in_order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shingles in the common order: by counter, then by hash."""
-    return s[np.lexsort((s, counts[s & np.uint64(len(counts) - 1)]))]
-
-
 def needed(x, y, percent: int):
     """Least intersection of sets of sizes x and y that are linked."""
     return -(-percent * (x + y) // (100 + percent))
@@ -161,18 +155,19 @@ def probe(trie: Trie, x: np.ndarray, inside: np.ndarray, percent: int, done: np.
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, counts: np.ndarray,
-                 percent: int) -> list[tuple[int, int]]:
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links that join all linked sets, as pairs of numbers (left sets first).
 
     With `right` None the left sets are compared with each other, else with the
-    right ones. A pair that earlier links connect already is not looked at.
+    right ones. Shingles that many of these sets have come first, so that the
+    trie holds common parts once. A pair that earlier links connect already is
+    not looked at.
     """
-    raw = [in_order(s, counts) for s in [*left, *(right or [])]]
-    every = np.unique(np.concatenate(raw))
+    raw = [*left, *(right or [])]
+    every, count = np.unique(np.concatenate(raw), return_counts=True)
     rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, counts[every & np.uint64(len(counts) - 1)]))] = np.arange(len(every))
-    sets = [rank[np.searchsorted(every, s)] for s in raw]
+    rank[np.lexsort((every, -count))] = np.arange(len(every))
+    sets = [np.sort(rank[np.searchsorted(every, s)]) for s in raw]
     stored = range(len(left), len(sets)) if right is not None else range(len(sets))
     order = np.array(sorted(stored, key=lambda k: sets[k].tolist()))
     trie = build_trie([sets[k] for k in order])
@@ -222,6 +217,8 @@ def _joined(token: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
 
 
 EDGES = "u long, v long"
+#: Senders of letters that are no shards.
+SETS, ORDERS = -1, -2
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -229,61 +226,55 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def signatures(texts: DataFrame, n: int, counters: int = COUNTERS) -> DataFrame:
-    """(block, id, mark, size, digest) of every row, and the counters of every task
-    as rows (slice, counts) besides."""
-    kind = texts.schema["id"].dataType.simpleString()
-
+def signatures(texts: DataFrame, n: int) -> DataFrame:
+    """(block, id, mark, size, digest) of every row."""
     def run(batches):
-        counts, width, id_type = np.zeros(counters, np.uint32), counters // SLICES, None
         for batch in batches:
-            sizes, digests, id_type = [], [], batch["id"].type
-            for s in _sets(batch, n):
-                sizes.append(len(s))
-                digests.append(digest(s))
-                np.add.at(counts, (s & np.uint64(counters - 1)).astype(np.int64), 1)
-            k = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch["block"], batch["id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if id_type is not None:
-            body = [blocks.pack(c) for c in counts.reshape(SLICES, width)]
+            sets = [(len(s), digest(s)) for s in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, id_type), pa.nulls(SLICES, pa.int64()),
-                 pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(body, pa.binary())], names)
+                [batch["block"], batch["id"], batch["mark"], pa.array([k for k, _ in sets], pa.int64()),
+                 pa.array([d for _, d in sets], pa.binary())], ["block", "id", "mark", "size", "digest"])
 
-    names = ["block", "id", "mark", "size", "digest", "slice", "counts"]
-    return texts.mapInArrow(run, f"block long, id {kind}, mark long, size long, digest binary, slice int, counts binary")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"block long, id {kind}, mark long, size long, digest binary")
 
 
-def common_counts(signed: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """The counters of all tasks added up: a table of fixed size.
+def _small(a: np.ndarray) -> np.ndarray:
+    """The array in the smallest unsigned type but 64 bits that holds it."""
+    kinds = (k for k in (np.uint8, np.uint16, np.uint32) if a.max(initial=0) <= np.iinfo(k).max)
+    return a.astype(next(kinds, np.int64))
 
-    About the square root of the tasks add them up first, then one; each holds
-    one table at a time.
-    """
-    width = counters // SLICES
 
-    def add(batches):
-        total = np.zeros((SLICES, width), np.int64)
-        for batch in batches:
-            for k, body in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist()):
-                total[k] += blocks.unpack(body)[0]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()),
-                                          "counts": pa.array([blocks.pack(t) for t in total], pa.binary())})
+def _counters(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted counters of the sets' shingles, how often each is met)."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - bits), return_counts=True)
+
+
+def _cuts(counters: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    return blocks.owner_cuts(counters << np.uint64(64 - bits), shards)
+
 
-    kind = "slice int, counts binary"
-    parts = signed.where("slice is not null").select("slice", "counts")
-    some = parts.repartition(max(1, int(signed.rdd.getNumPartitions() ** 0.5))).mapInArrow(add, kind)
-    total = np.zeros((SLICES, width), np.int64)
-    for row in some.repartition(1).mapInArrow(add, kind).collect():
-        total[row["slice"]] = blocks.unpack(bytes(row["counts"]))[0]
-    return total.reshape(-1)
+def add_counts(shard: int, table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """To each block the places of its counters that others have too, with the
+    counts of all blocks."""
+    sender, parts = np.sort(table["sender"].to_numpy(), kind="stable"), blocks.bodies(table)
+    keys = [np.cumsum(p[0].astype(np.int64)) for p in parts]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    total = np.bincount(at, own, len(every)).astype(np.int64)[at]
+    out, begin = [], 0
+    for b, k in zip(sender, keys):
+        here = slice(begin, begin + len(k))
+        more = np.flatnonzero(total[here] > own[here])
+        if len(more):
+            out.append((int(b), shard, blocks.pack(_small(np.diff(more, prepend=0)), _small(total[here][more]))))
+        begin += len(k)
+    return out
 
 
 def _own(table: pa.Table, letters: pa.Table, n: int) -> dict[bytes, np.ndarray]:
     """The sets that the block keeps, in the order of their digests."""
-    bodies = [b for b, sender in zip(letters["body"].to_pylist(), letters["sender"].to_pylist()) if sender == 0]
+    bodies = [b for b, sender in zip(letters["body"].to_pylist(), letters["sender"].to_pylist()) if sender == SETS]
     wanted = {body[i:i + 16] for body in bodies for i in range(0, len(body), 16)}
     found = {}
     for s in _sets(table, n):
@@ -294,7 +285,7 @@ def _own(table: pa.Table, letters: pa.Table, n: int) -> dict[bytes, np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
-                    counters: int = COUNTERS, piece: int = PIECE,
+                    counters_per_byte: float = COUNTERS_PER_BYTE, piece: int = PIECE,
                     block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, text_hash), one row per row.
 
@@ -307,31 +298,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read. Shingles are told apart by 64-bit hashes, sets by
     128 bits.
     """
-    spark = docs.sparkSession
     texts, n_blocks = blocks.blocked(docs, id_col, text_col, block_bytes, mark=F.xxhash64(text_col))
-    signed = written(signatures(texts, n, counters), "signatures")
-    counts = spark.sparkContext.broadcast(common_counts(signed, counters))  # fixed size
-    rows = signed.where("slice is null")
+    bits = max(1, int(n_blocks * block_bytes * counters_per_byte).bit_length())
+    rows = written(signatures(texts, n), "signatures")
     best = rows.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct(F.isnull("id").alias("no_id"), "id", "block")).alias("best"))
     sets = written(best.select("digest", "best.block", "best.id"), "sets")
     mine = sets.groupBy("block").agg(F.array_join(F.sort_array(F.collect_list(F.hex("digest"))), "").alias("all"))
-    letters = written(mine.select(F.col("block").alias("to"), F.lit(0).cast("long").alias("sender"),
+    letters = written(mine.select(F.col("block").alias("to"), F.lit(SETS).cast("long").alias("sender"),
                                   F.unhex("all").alias("body")), "representatives")
 
-    def question(block: int, table: pa.Table, wanted: pa.Table) -> list:
+    def count(block: int, table: pa.Table, wanted: pa.Table) -> list:
+        keys, local = _counters(list(_own(table, wanted, n).values()), bits)
+        cuts = _cuts(keys, bits, n_blocks)
+        return [(int(s), block, blocks.pack(_small(np.diff(keys[cuts[s]:cuts[s + 1]].astype(np.int64), prepend=0)),
+                                            _small(local[cuts[s]:cuts[s + 1]]))) for s in np.flatnonzero(np.diff(cuts))]
+
+    counted = letters.union(blocks.answer(blocks.ask(texts, count, letters), add_counts))
+
+    def question(block: int, table: pa.Table, mail: pa.Table) -> list:
+        own = list(_own(table, mail, n).values())
+        keys, total = _counters(own, bits)
+        cuts, total = _cuts(keys, bits, n_blocks), total.copy()
+        for sender, body in zip(mail["sender"].to_pylist(), mail["body"].to_pylist()):
+            if sender >= 0:
+                place, counts = blocks.unpack(body)
+                total[cuts[sender] + np.cumsum(place.astype(np.int64))] = counts
         token, node = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, s in enumerate(_own(table, wanted, n).values()):
-            head = in_order(s, counts.value)[:first_shingles(len(s), percent)]
+        for k, s in enumerate(own):
+            often = total[np.searchsorted(keys, s >> np.uint64(64 - bits))]
+            head = np.lexsort((s, often))[:first_shingles(len(s), percent)]
+            head = s[head[often[head] > 1]]  # one that is met once links nothing
             token.append(head)
             node.append(np.full(len(head), (block << 24) + k))
         token, node = np.concatenate(token), np.concatenate(node)
         edges = _joined(token, node)
-        keys, at = np.unique(token, return_index=True)
-        own = [(-1, block, blocks.pack(np.array(edges, np.int64).reshape(-1)))] if edges else []
-        return [*own, *blocks.mail(keys, n_blocks, block, node[at])]
+        heads, at = np.unique(token, return_index=True)
+        inside = [(-1, block, blocks.pack(np.array(edges, np.int64).reshape(-1)))] if edges else []
+        return [*inside, *blocks.mail(heads, n_blocks, block, node[at])]
 
-    asked = blocks.ask(texts, question, letters)
+    asked = blocks.ask(texts, question, counted)
 
     def share(key: tuple, table: pa.Table) -> pa.Table:
         parts = blocks.bodies(table)
@@ -358,12 +364,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = ["node", "root", "low", "high", "part", "job"]
 
     def order(key: tuple, table: pa.Table) -> pa.Table:
-        return blocks.letters([(key[0].as_py(), 1, blocks.pack(*[table[c].to_numpy() for c in columns]))])
+        return blocks.letters([(key[0].as_py(), ORDERS, blocks.pack(*[table[c].to_numpy() for c in columns]))])
 
     mailbox = letters.union(sent.select("to", *columns).groupBy("to").applyInArrow(order, blocks.MAIL))
 
     def ship(key: tuple, table: pa.Table, mail: pa.Table) -> pa.Table:
-        orders = [b for b, sender in zip(mail["body"].to_pylist(), mail["sender"].to_pylist()) if sender == 1]
+        orders = [b for b, sender in zip(mail["body"].to_pylist(), mail["sender"].to_pylist()) if sender == ORDERS]
         own = list(_own(table, mail, n).items()) if orders else []
         node, root, low, high, part, job = blocks.unpack(orders[0]) if orders else [np.zeros(0, np.int64)] * 6
         at = (node & ((1 << 24) - 1)).tolist()
@@ -383,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets_of = lambda at: [np.frombuffer(table["shingles"][int(k)].as_py(), np.uint64) for k in at]
             both = [names[k] for k in [*left, *right]]
             if len(left) and (own or len(right)):
-                pairs = linked_pairs(sets_of(left), None if own else sets_of(right), counts.value, percent)
+                pairs = linked_pairs(sets_of(left), None if own else sets_of(right), percent)
                 found += [(both[x], both[y]) for x, y in pairs]
         return _table(found, pa.schema([("u", pa.binary()), ("v", pa.binary())]))
 

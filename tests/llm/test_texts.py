@@ -216,9 +216,10 @@ def groups_of(rows, n, percent):
     return Counter((rows[k][0], len(sets[k]), least[find(k)]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("n, percent, piece, counters", [(4, 85, 2048, 1 << 20), (5, 80, 3, 16), (2, 60, 2, 64)])
+@pytest.mark.parametrize("n, percent, piece, counters", [(4, 85, 2048, 5), (5, 80, 3, 0.001), (2, 60, 2, 0.01)])
 def test_near_groups(shared_rows, none, n, percent, piece, counters):
-    got = jaccard_join.near_duplicates(shared_rows, n=n, percent=percent, piece=piece, counters=counters, block_bytes=SMALL)
+    got = jaccard_join.near_duplicates(shared_rows, n=n, percent=percent, piece=piece, counters_per_byte=counters,
+                                       block_bytes=SMALL)
     assert counted(got.collect(), ["id", "n_shingles", "component_id"]) == groups_of(pairs(shared_rows), n, percent)
     assert jaccard_join.near_duplicates(none).count() == 0
 
