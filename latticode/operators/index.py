@@ -73,7 +73,10 @@ def encode_vectors(vector: Column, table: Sequence[float], n_bits: int, dim: int
     @F.arrow_udf("struct<" + ", ".join(f"{name}: {kind}" for name, kind in columns) + ">")
     def encoded(col: pa.Array) -> pa.Array:
         def apply(vectors: pa.Array) -> pa.Array:
-            out = fields(k.list_matrix(vectors, dim))
+            rows = k.list_matrix(vectors, dim)
+            if not np.isfinite(rows).all():
+                raise ValueError("a vector holds a coordinate that is not finite")
+            out = fields(rows)
             return pa.StructArray.from_arrays([out[name] for name, _ in columns],
                                               names=[name for name, _ in columns])
 
@@ -87,11 +90,13 @@ def build_index(df: DataFrame, codebook: DataFrame | Sequence[float], n_bits: in
                 mse_seed: int = MSE_SEED, qjl_seed: int = QJL_SEED, with_qjl: bool = True,
                 full_data: bool = False, normalize: bool = True,
                 residual_sign: str = "unbiased", dim: int | None = None,
-                codebook_dim: int | None = None) -> DataFrame:
+                codebook_dim: int | None = None, skip_non_finite: bool = False) -> DataFrame:
     """Index (id, packed[, gamma, qjl_bits][, full data], n_bits, mse_seed, qjl_seed).
 
     A map over the rows: no shuffle, and rows of `df` without a vector are left
-    out. The codebook is taken for the rotated dimension, or for `codebook_dim`.
+    out. A coordinate that is not finite is an error, or with `skip_non_finite`
+    leaves its row out. The codebook is taken for the rotated dimension, or for
+    `codebook_dim`.
     """
     dim = dim or vector_dim(df, vector_col)
     if dim is None:  # an empty table has an empty index, whatever its dimension
@@ -100,6 +105,8 @@ def build_index(df: DataFrame, codebook: DataFrame | Sequence[float], n_bits: in
     encoded = encode_vectors(
         F.col(vector_col), table, n_bits, dim, mse_seed=mse_seed, qjl_seed=qjl_seed,
         with_qjl=with_qjl, full_data=full_data, normalize=normalize, residual_sign=residual_sign)
+    if skip_non_finite:
+        df = df.where(F.forall(vector_col, lambda x: F.abs(x) < float("inf")))  # NaN is larger than all
     return (
         df.where(F.col(vector_col).isNotNull())
         .select(F.col(id_col).alias("id"), encoded.alias("code"))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from latticode.functions import kernels as k
 
-SMALL_TABLE = 200_000
-BROADCAST_FILES = 500_000
-
 
 def _range_of(key: Column, bounds: list) -> Column:
     """Number of bounds at or below the key (numbers or strings); 0 for null."""
@@ -65,30 +62,14 @@ def number_rows(df: DataFrame, order_by: str, name: str = "row_index",
             .drop("_range", "_start"))
 
 
-def exceeds(df: DataFrame, rows: int) -> bool:
-    """Whether the table has more than `rows` rows. Partitions are read a few at
-    a time until the answer is known, so a large table is not scanned."""
-    return bool(df.select(F.lit(1)).offset(rows).take(1))
-
-
-def spread_small(df: DataFrame, key: str, rows: int = SMALL_TABLE) -> DataFrame:
-    """A table of at most `rows` rows spread by key over all cores; a larger one
-    as it is.
-
-    A small file is often one row group, so that one task would do all costly
-    work per row. A large table has enough row groups and is never shuffled here.
-    """
-    if exceeds(df, rows):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def sample_file_rows(df: DataFrame, every: int) -> DataFrame:
     """Rows 0, every, 2 * every, ... of a Parquet scan in file order.
 
     A row's number is its position in its file plus the rows of the files
     before it by path. Only the counts per file are gathered, so this is a map
-    over the table: no row is shuffled, however wide it is.
+    over the table: no row is shuffled, however wide it is. The counts are sent
+    to all tasks; they are no more than the list of files that the driver holds
+    to plan the scan.
     """
     if every < 1:
         raise ValueError("every must be at least 1")
@@ -97,35 +78,48 @@ def sample_file_rows(df: DataFrame, every: int) -> DataFrame:
     # One row per file: a small table next to the data, and one window partition.
     before = Window.partitionBy().orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    if not exceeds(files, BROADCAST_FILES):
-        starts = F.broadcast(starts)
-    return (placed.join(starts, "_file")
+    return (placed.join(F.broadcast(starts), "_file")
             .where((F.col("_start") + F.col("_position")) % every == 0)
             .select(*df.columns))
 
 
 def sample_every(df: DataFrame, every: int, order_by: str) -> DataFrame:
-    """Rows 0, every, 2 * every, ... in the order of a unique key. For a Parquet
-    scan, `sample_file_rows` does without the shuffle."""
+    """Rows 0, every, 2 * every, ... in the order of a unique key (null first).
+
+    Only keys are numbered and shuffled; the keys of the sample are then joined
+    to the table. For a Parquet scan, `sample_file_rows` does without either.
+    """
     if every < 1:
         raise ValueError("every must be at least 1")
-    numbered = number_rows(df, order_by, "_row")
-    return numbered.where(F.col("_row") % every == 0).drop("_row")
+    numbered = number_rows(df.select(F.col(order_by).alias("_key")), "_key", "_row")
+    chosen = numbered.where(F.col("_row") % every == 0).select("_key")
+    return df.join(chosen, F.col(order_by).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def cap_rows(df: DataFrame, limit: int | None, order_by: str, ranges: int | None = None) -> DataFrame:
-    """First `limit` rows in the order of a unique key; None keeps all.
+    """First `limit` rows in the order of a unique key (null first); None keeps all.
 
-    A small table is a plain top-k. A large one is first cut, by a filter on the
-    key that reaches the scan, after the range in which the limit falls; only
-    what is left is numbered.
+    Keys are counted by ranges; the range in which the limit falls gives the
+    last key that is kept, from a top-k of that range's keys. What is left is a
+    filter on the key, which reaches the scan: no row is numbered or moved. The
+    jobs that find the last key (a count, a sample, the range counts, the top-k)
+    run while the plan is built and read the key and what `df` filters on.
     """
     if limit is None:
         return df
-    if not exceeds(df, SMALL_TABLE):
-        return df.orderBy(order_by).limit(limit)
-    _, bounds, counts = _ranged(df, order_by, ranges)
-    last = next((r for (r, _), seen in zip(counts, accumulate(n for _, n in counts)) if seen >= limit), None)
-    if last is not None and last < len(bounds):
-        df = df.where((F.col(order_by) < bounds[last]) | F.col(order_by).isNull())
-    return number_rows(df, order_by, "_row", ranges).where(F.col("_row") < limit).drop("_row")
+    keys = df.select(F.col(order_by).alias("_key"))
+    ranged, bounds, counts = _ranged(keys, "_key", ranges)
+    seen = 0
+    for number, rows in counts:
+        if seen + rows >= limit:
+            low = F.lit(True) if number == 0 else F.col("_key") >= bounds[number - 1]
+            high = F.lit(True) if number == len(bounds) else F.col("_key") < bounds[number]
+            inside = keys.where((low & high) | (F.col("_key").isNull() & F.lit(number == 0)))
+            first = inside.orderBy("_key").limit(limit - seen)
+            last = first.agg(F.count("*").alias("n"), F.max("_key").alias("key")).first()
+            below = F.lit(False) if last["key"] is None else F.col(order_by) <= last["key"]
+            if seen == 0 and last["n"] == 0:
+                return df.where(F.lit(False))
+            return df.where(below | F.col(order_by).isNull())
+        seen += rows
+    return df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from latticode.functions import text
 from latticode.operators import reduction as rd
 from latticode.operators import stats
-from latticode.operators.rows import sample_every
+from latticode.operators.rows import sample_file_rows
 
 
 def profile_texts(df: DataFrame, text_col: str, interpolation: str = "nearest") -> DataFrame:
@@ -22,12 +22,9 @@ def valid_count(df: DataFrame, text_col: str, minimum: int = text.MIN_LENGTH) ->
 def cluster_vectors(df: DataFrame, id_col: str, every: int = 100, variance: float = 0.7,
                     clusters: int = 10, components: int = 200, seed: int = 4321,
                     vector_col: str = "embedding") -> DataFrame:
-    """(id, projected, cluster): every-nth sample, PCA cut to the component count
-    nearest to `variance`, k-means."""
-    sample = df.select(id_col, vector_col)
-    if every > 1:
-        sample = sample_every(sample, every, id_col)
-    sample = sample.persist()
+    """(id, projected, cluster): every-nth row of a Parquet scan in file order,
+    PCA cut to the component count nearest to `variance`, k-means."""
+    sample = (sample_file_rows(df, every) if every > 1 else df).select(id_col, vector_col).persist()
     try:
         pca = rd.fit_pca(sample, components, vector_col)
         kept = rd.components_for(rd.explained_variance(df, pca), [variance]).first().components

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from latticode.functions import text
 from latticode.functions.encoders import Encoder
-from latticode.operators.rows import cap_rows, spread_small
+from latticode.operators.rows import cap_rows
 from latticode.sources import tables
 
 
@@ -31,16 +31,27 @@ def contents(papers: DataFrame, num_rows: int | None = None,
 
 
 def embed(papers: DataFrame, encoder: Encoder, num_rows: int | None = None,
-          min_length: int = text.MIN_LENGTH) -> DataFrame:
+          min_length: int = text.MIN_LENGTH, partitions: int | None = None) -> DataFrame:
     """Embeddings table (id, content, embedding): filter, content, encoder.
 
-    The filter runs before the encoder, and only a small table is shuffled, to
-    put all cores to work on it.
+    The filter runs before the encoder. With `partitions` the texts are dealt to
+    that many tasks first, for a source of fewer row groups than cores.
     """
-    texts = contents(spread_small(papers, "id"), num_rows, min_length)
+    texts = contents(papers.repartition(partitions, "id") if partitions else papers, num_rows, min_length)
     return texts.withColumn("embedding", encoder(F.col("content")))
 
 
+def create_embeddings(spark: SparkSession, source: str, target: str, encoder: Encoder, *,
+                      num_rows: int | None = None, min_length: int = text.MIN_LENGTH,
+                      partitions: int | None = None, mode: str = "errorifexists",
+                      rows_per_file: int | None = None) -> DataFrame:
+    """Papers Parquet to embeddings Parquet, at most `num_rows` of them."""
+    papers = tables.read_table(spark, source, ["id", "title", "abstract"])
+    write_embeddings(embed(papers, encoder, num_rows, min_length, partitions), target, mode=mode,
+                     rows_per_file=rows_per_file)
+    return tables.read_table(spark, target)
+
+
 def write_embeddings(embeddings: DataFrame, path: str, *, mode: str = "errorifexists",
                      rows_per_file: int | None = None) -> None:
     tables.write_table(embeddings, path, mode=mode, rows_per_file=rows_per_file,

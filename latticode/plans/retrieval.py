@@ -33,14 +33,20 @@ class DocumentSearch:
         """(qid, id, score, rank) for a table of (qid, text)."""
         return sr.search(self.index, encode_queries(queries, self.encoder), self.codebook, top_n, **self.options)
 
-    def query_many(self, queries: DataFrame, top_n: int = 10) -> DataFrame:
-        """Documents with qid, score and rank for a table of (qid, text)."""
-        return sr.attach_documents(self.hits(queries, top_n), self.docs, max_hits=queries.count() * top_n)
+    def query_many(self, queries: DataFrame, top_n: int = 10, max_queries: int | None = None) -> DataFrame:
+        """Documents with qid, score and rank for a table of (qid, text); with
+        `max_queries`, a bound on its rows, few hits are sent to the documents."""
+        asked = None if max_queries is None else max_queries * top_n
+        return sr.attach_documents(self.hits(queries, top_n), self.docs, max_hits=asked)
 
     def query(self, text: str, top_n: int = 10) -> DataFrame:
-        """Documents with score and rank for one question, read by id."""
+        """Documents with score and rank for one question; up to `LOOKUP_HITS`
+        of them are read by id."""
         one = self.index.sparkSession.createDataFrame([(0, text)], "qid bigint, text string")
-        return sr.lookup_documents(self.hits(one, top_n), self.docs).drop("qid").orderBy("rank")
+        hits = self.hits(one, top_n)
+        found = (sr.lookup_documents(hits, self.docs) if top_n <= sr.LOOKUP_HITS
+                 else sr.attach_documents(hits, self.docs, max_hits=top_n))
+        return found.drop("qid").orderBy("rank")
 
     def cards(self, text: str, top_n: int = 12) -> DataFrame:
         """Result cards of one question."""

@@ -42,23 +42,29 @@ def test_numbering_is_not_one_partition(shuffled):
     assert "SinglePartition" not in text and "hashpartitioning(_range" in text
 
 
-def test_caps(spark, tmp_path, shuffled, monkeypatch):
-    small = rw.cap_rows(shuffled, 10, "k")
-    assert "TakeOrderedAndProject" in plan(small)
-    assert sorted(r.k for r in small.collect()) == list(range(0, 30, 3))
+def test_caps(spark, tmp_path, shuffled):
     assert rw.cap_rows(shuffled, None, "k") is shuffled
-    monkeypatch.setattr(rw, "SMALL_TABLE", 5)
     shuffled.write.parquet(str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))
     for limit in (0, 1, 10, 125, 126, 999, 1000, 5000):
-        assert sorted(r.k for r in rw.cap_rows(table, limit, "k", ranges=8).collect()) == list(range(0, 3000, 3))[:limit]
+        for ranges in (1, 8):
+            assert sorted(r.k for r in rw.cap_rows(table, limit, "k", ranges=ranges).collect()) == list(range(0, 3000, 3))[:limit]
     text = plan(rw.cap_rows(table, 10, "k", ranges=8))
-    assert "TakeOrderedAndProject" not in text and "LessThan(k," in text
+    assert "LessThanOrEqual(k,27)" in text and "Exchange" not in text and "TakeOrdered" not in text
 
 
-def test_only_small_tables_are_spread(shuffled):
-    assert "hashpartitioning(k" in plan(rw.spread_small(shuffled, "k"))
-    assert rw.spread_small(shuffled, "k", rows=10) is shuffled
+def test_caps_of_strings_and_a_null(spark):
+    df = spark.createDataFrame([(c,) for c in "zebra"] + [(None,)], "k string")
+    assert [r.k for r in rw.cap_rows(df, 1, "k", ranges=2).collect()] == [None]
+    assert {r.k for r in rw.cap_rows(df, 3, "k", ranges=2).collect()} == {None, "a", "b"}
+    assert rw.cap_rows(df.where("false"), 3, "k").count() == 0
+
+
+def test_sample_moves_keys_only(shuffled):
+    text = plan(rw.sample_every(shuffled.withColumn("wide", F.lit("x")), 10, "k"))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(_range" in line]
+    below = text[text.index("Exchange hashpartitioning(_range"):]
+    assert moved and "wide" not in below and "v#" not in below.split("Project", 1)[1].split("\n", 1)[0]
 
 
 def test_file_order_sample_is_a_map(spark, tmp_path, shuffled):
@@ -73,7 +79,3 @@ def test_file_order_sample_is_a_map(spark, tmp_path, shuffled):
     assert sorted(r.k for r in sample.collect()) == sorted(ordered[::7])
     assert sorted(r.k for r in rw.sample_file_rows(df, 10 ** 6).collect()) == [ordered[0]]
     assert "BroadcastHashJoin" in plan(sample) and "SortMergeJoin" not in plan(sample)
-
-
-def test_exceeds(shuffled):
-    assert rw.exceeds(shuffled, 999) and not rw.exceeds(shuffled, 1000)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,14 +89,60 @@ def test_padded_vectors(spark, vectors_df):
     assert_same(found, brute_force(index, queries, 4, 5, math.sqrt(math.pi / 2) / 8))
 
 
-@pytest.mark.parametrize("inline", [100, 1])
-def test_blocks_of_queries(vectors_df, queries, monkeypatch, inline):
+def test_groups_of_queries(vectors_df, queries, tmp_path, monkeypatch):
     index = ix.build_index(vectors_df, CODEBOOK[4], 4)
     whole = collected(sr.search(index, queries, CODEBOOK[4], 6))
-    monkeypatch.setattr(sr, "INLINE_BLOCKS", inline)
-    assert collected(sr.search(index, queries, CODEBOOK[4], 6, block_rows=1)) == whole
-    monkeypatch.setattr(sr, "COLLECTED_QUERIES", 2)
-    assert collected(sr.search(index, queries.repartition(3), CODEBOOK[4], 6, block_rows=4)) == whole
+    assert collected(sr.search(index, queries, CODEBOOK[4], 6, group_rows=1)) == whole
+    path = str(tmp_path / "hits")
+    assert collected(sr.search(index, queries.repartition(3), CODEBOOK[4], 6, group_rows=4, work_dir=path)) == whole
+    monkeypatch.setattr(sr, "PIECE_BYTES", 1)
+    monkeypatch.setattr(sr, "GROUP_HITS", 12)
+    assert collected(sr.search(index, queries, CODEBOOK[4], 6)) == whole
+
+
+def test_a_task_sends_top_n_per_query(vectors_df, queries):
+    index = ix.build_index(vectors_df.repartition(40), CODEBOOK[4], 4)
+    group = next(sr._query_groups(sr.rotate_queries(queries), 5, None))
+    for tasks in (1, 3, 8):
+        sent = sr._score_group(index, *group, CODEBOOK[4], 4, 0.1, 5, queries.schema["qid"], "product", tasks)
+        assert sent.count() == tasks * 6 * 5
+
+
+def test_short_queries_rank_alike(vectors_df, queries):
+    index = ix.build_index(vectors_df, CODEBOOK[4], 4)
+    whole = collected(sr.search(index, queries, CODEBOOK[4], 6))
+    for factor in (1e-11, 1e-200, 1e9):
+        scaled = queries.select("qid", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * factor).alias("embedding"))
+        for method in ("table", "product"):
+            got = collected(sr.search(index, scaled, CODEBOOK[4], 6, method=method))
+            assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in whole.items()}
+            assert [s / factor for _, s in got[2]] == pytest.approx([s for _, s in whole[2]])
+    zero = queries.select("qid", F.transform("embedding", lambda x: x * 0).alias("embedding"))
+    assert collected(sr.search(index, zero, CODEBOOK[4], 3)) == {q: [(0, 0.0), (1, 0.0), (2, 0.0)] for q in whole}
+    assert sr.search(index, queries.select("qid", F.transform("embedding", lambda x: x * float("nan")).alias("embedding")),
+                     CODEBOOK[4], 3).count() == 0
+
+
+def test_rows_that_are_not_finite_take_no_place(spark, vectors_df, queries):
+    bad = spark.createDataFrame([(9000 + i, [v] + [0.5] * 63) for i, v in enumerate((math.inf, -math.inf, math.nan))],
+                                "id bigint, embedding array<float>")
+    both = vectors_df.select("id", "embedding").unionByName(bad)
+    with pytest.raises(Exception, match="not finite"):
+        ix.build_index(both, CODEBOOK[4], 4).collect()
+    index = ix.build_index(vectors_df, CODEBOOK[4], 4)
+    whole = collected(sr.search(index, queries, CODEBOOK[4], 10))
+    skipped = ix.build_index(both, CODEBOOK[4], 4, skip_non_finite=True)
+    assert collected(sr.search(skipped, queries, CODEBOOK[4], 10)) == whole
+    one = index.where("id = 0")
+    holes = index
+    for i, gamma in enumerate((None, math.nan, math.inf)):
+        lost = one.select(F.lit(9000 + i).cast("bigint").alias("id"), "packed", F.lit(gamma).cast("float").alias("gamma"),
+                          *index.columns[3:])
+        holes = holes.unionByName(lost)
+    assert collected(sr.search(holes.coalesce(1), queries, CODEBOOK[4], 10)) == whole
+    best = sr._Best(1, 10, pa.int64())
+    best.add(np.r_[np.full(12, np.nan), np.arange(38.0)][:, None], pa.array(range(50)))
+    assert best.finish()["id"].to_pylist() == list(range(49, 39, -1))
 
 
 def test_small_chunks_keep_the_best(vectors_df, queries, monkeypatch):
@@ -165,7 +212,7 @@ def test_plan_keeps_hits_local(vectors_df, queries):
     index = ix.build_index(vectors_df, CODEBOOK[4], 4)
     text = plan(sr.search(index, queries, CODEBOOK[4], 5))
     below = text[text.index("MapInArrow"):]
-    assert "Exchange" not in below and "WindowGroupLimit" in text
+    assert "Exchange" not in below and "WindowGroupLimit" in text and "Coalesce" in below
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert below.count("ArrowEvalPython") == 1
 
@@ -212,15 +259,11 @@ def test_lookup_pushes_ids_to_sorted_files(spark, found, docs, monkeypatch):
     text = plan(sr.lookup_documents(many, stored, "doc_id"))
     assert "PushedFilters: [Or(Or(In(doc_id, [0,1,2,3,4,5,6,7,8,9]),In(doc_id, [10," in text
     monkeypatch.setattr(sr, "LOOKUP_HITS", 2)
-    assert sorted((r.qid, r.rank, r.title) for r in sr.lookup_documents(found, stored, "doc_id").collect()) == rows
+    with pytest.raises(ValueError, match="attach_documents"):
+        sr.lookup_documents(found, stored, "doc_id")
     assert sr.lookup_documents(found.where("qid > 5"), stored, "doc_id").count() == 0
 
 
-def test_rank_hits_groups(spark):
-    hits = spark.range(2000).select((F.col("id") % 3).alias("qid"), "id", F.rand(1).alias("score"))
-    assert collected(sr.rank_hits(hits, 5, 32)) == collected(sr.rank_hits(hits, 5, 1))
-
-
 def test_document_search(spark):
     encoder = hashed_encoder(64)
     docs = spark.createDataFrame([
