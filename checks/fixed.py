@@ -15,6 +15,9 @@ CODEBOOK = {bits: [-c for c in reversed(half)] + half for bits, half in _POSITIV
 TOP_N = 10
 SAMPLE_EVERY = 100
 ROW_CAP = 500
-# The questions the reference asks, and how many results it shows.
+INDEX_CAP = 120
+# Dimension of the vectors that are padded to the next power of two.
+PADDED = 96
+# The questions the reference asks, and how many results it shows.
 QUESTIONS = [(0, "What is the social impact of war?"), (1, "Retrieval Augmented Generation, RAG")]
 CARDS = 12

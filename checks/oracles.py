@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from checks.fixed import CARDS, CODEBOOK, DIM, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import CARDS, CODEBOOK, DIM, INDEX_CAP, PADDED, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 
 MSE, QJL = 42, 24
 UNBIASED = repr(math.sqrt(math.pi / 2) / math.sqrt(DIM)) + "::DOUBLE"
@@ -22,8 +22,8 @@ def array(values) -> str:
     return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
 
 
-def signs(seed: int, at: str) -> str:
-    flips = 1 - 2 * np.random.default_rng(seed).integers(0, 2, size=DIM)
+def signs(seed: int, at: str, dim: int = DIM) -> str:
+    flips = 1 - 2 * np.random.default_rng(seed).integers(0, 2, size=dim)
     return f"({array(flips)})[{at} + 1]"
 
 
@@ -35,22 +35,28 @@ def parity(a: str, b: str) -> str:
     return f"(1 - 2 * (bit_count(({a}) & ({b})) % 2))"
 
 
-def rotation(name: str, source: str, seed: int, key: str = "id") -> str:
-    """name(key, i, y): rotated coordinates of source(key, j, x)."""
-    return f"""{name} AS (SELECT {key}, i, sum(x * {signs(seed, 'j')} * {parity('i', 'j')}) / sqrt({DIM}) AS y
-  FROM {source}, (SELECT unnest(range({DIM})) AS i) GROUP BY {key}, i)"""
+def rotation(name: str, source: str, seed: int, key: str = "id", dim: int = DIM) -> str:
+    """name(key, i, y): rotated coordinates of source(key, j, x), which may have
+    fewer than `dim`."""
+    return f"""{name} AS (SELECT {key}, i, sum(x * {signs(seed, 'j', dim)} * {parity('i', 'j')}) / sqrt({dim}) AS y
+  FROM {source}, (SELECT unnest(range({dim})) AS i) GROUP BY {key}, i)"""
 
 
-def unrotation(name: str, source: str, seed: int, value: str) -> str:
-    """name(id, j, x): source(id, i, value) turned back."""
-    return f"""{name} AS (SELECT id, j, sum({value} * {parity('i', 'j')}) / sqrt({DIM}) * {signs(seed, 'j')} AS x
-  FROM {source}, (SELECT unnest(range({DIM})) AS j) GROUP BY id, j)"""
+def unrotation(name: str, source: str, seed: int, value: str, dim: int = DIM, kept: int | None = None) -> str:
+    """name(id, j, x): source(id, i, value) turned back, the first `kept`."""
+    return f"""{name} AS (SELECT id, j, sum({value} * {parity('i', 'j')}) / sqrt({dim}) * {signs(seed, 'j', dim)} AS x
+  FROM {source}, (SELECT unnest(range({kept or dim})) AS j) GROUP BY id, j)"""
 
 
 RAW = """raw AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x,
   generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)"""
-UNIT = RAW + """, lengths AS (SELECT id, sqrt(sum(x * x)) AS n FROM raw GROUP BY id),
+UNITS = """, lengths AS (SELECT id, sqrt(sum(x * x)) AS n FROM raw GROUP BY id),
 unit AS (SELECT id, j, CASE WHEN n > 0 THEN x / n ELSE 0 END AS x FROM raw JOIN lengths USING (id))"""
+UNIT = RAW + UNITS
+# Vectors of another dimension than a power of two, and not of length one.
+LONGER = f"list_concat(embedding, list_transform(embedding[1:{PADDED - DIM}], lambda v: v / 2))"
+WIDE_RAW = f"""raw AS (SELECT vec_id AS id, unnest({LONGER})::DOUBLE AS x, unnest(range({PADDED})) AS j FROM embeddings)"""
+WIDE = 2 * DIM
 
 
 def code(value: str, bits: int) -> str:
@@ -73,21 +79,22 @@ def byte_hex(name: str, source: str, value: str, bits: int, out: str) -> str:
 {name} AS (SELECT id, string_agg(printf('%02X', b::INT), '' ORDER BY p) AS {out} FROM {name}_bytes GROUP BY id)"""
 
 
-def index(bits: int = 4, unit: str = UNIT, reference: bool = False, p: str = "") -> str:
+def index(bits: int = 4, unit: str = UNIT, reference: bool = False, p: str = "", dim: int = DIM,
+          kept: int = DIM) -> str:
     """CTEs rot, q (codes), rec, res, gam, sk (sign bits) of an index."""
     residual = "r.x - u.x" if reference else "u.x - r.x"
     return ", ".join([
-        unit, rotation(f"rot{p}", "unit", MSE), coded(f"q{p}", f"rot{p}", bits),
-        unrotation(f"rec{p}", f"q{p}", MSE, "c"),
+        unit, rotation(f"rot{p}", "unit", MSE, dim=dim), coded(f"q{p}", f"rot{p}", bits),
+        unrotation(f"rec{p}", f"q{p}", MSE, "c", dim, kept),
         f"res{p} AS (SELECT u.id, u.j, {residual} AS x FROM unit u JOIN rec{p} r ON u.id = r.id AND u.j = r.j)",
         f"gam{p} AS (SELECT id, sqrt(sum(x * x))::FLOAT::DOUBLE AS gamma FROM res{p} GROUP BY id)",
-        rotation(f"resrot{p}", f"res{p}", QJL),
+        rotation(f"resrot{p}", f"res{p}", QJL, dim=dim),
         f"sk{p} AS (SELECT id, i, (round(y, 12) > 0)::INT AS bit FROM resrot{p})",
     ])
 
 
-def index_rows(bits: int = 4) -> str:
-    return (f"WITH {index(bits)}, {byte_hex('ph', 'q', 'code', bits, 'packed')}, "
+def index_rows(bits: int = 4, **options) -> str:
+    return (f"WITH {index(bits, **options)}, {byte_hex('ph', 'q', 'code', bits, 'packed')}, "
             f"{byte_hex('bh', 'sk', 'bit', 1, 'qjl_bits')} "
             f"SELECT {bits} AS n_bits, id, packed, {r6('gamma')} AS gamma, qjl_bits "
             "FROM ph JOIN gam USING (id) JOIN bh USING (id)")
@@ -98,12 +105,12 @@ LABELS = """asked AS (SELECT label AS qid, j, avg(x) AS x FROM
    FROM embeddings) GROUP BY label, j)"""
 
 
-def scores(asked: str, sketch: bool, scale: str, top_n: int) -> str:
+def scores(asked: str, sketch: bool, scale: str, top_n: int, dim: int = DIM) -> str:
     """CTE hits(qid, id, score, rank); `asked` defines asked(qid, j, x)."""
-    parts = [asked, rotation("aq", "asked", MSE, "qid"),
+    parts = [asked, rotation("aq", "asked", MSE, "qid", dim),
              "mse AS (SELECT qid, id, sum(aq.y * q.c) AS s FROM q JOIN aq ON q.i = aq.i GROUP BY qid, id)"]
     if sketch:
-        parts += [rotation("sq", "asked", QJL, "qid"),
+        parts += [rotation("sq", "asked", QJL, "qid", dim),
                   "dots AS (SELECT qid, id, sum(sq.y * (2 * bit - 1)) AS s FROM sk JOIN sq ON sk.i = sq.i GROUP BY qid, id)",
                   f"""total AS (SELECT m.qid, m.id, m.s + {scale} * gamma * d.s AS s FROM mse m
   JOIN dots d ON m.qid = d.qid AND m.id = d.id JOIN gam ON gam.id = m.id)"""]
@@ -119,6 +126,12 @@ def label_hits(bits: int = 4, sketch: bool = True, reference: bool = False) -> s
     return f"{index(bits, reference=reference)}, {scores(LABELS, sketch, scale, TOP_N)}"
 
 
+PADDED_INDEX = {"unit": WIDE_RAW + UNITS, "dim": WIDE, "kept": PADDED}
+PADDED_LABELS = f"""asked AS (SELECT label AS qid, j, avg(x) AS x FROM
+  (SELECT label::BIGINT AS label, unnest({LONGER})::DOUBLE AS x, unnest(range({PADDED})) AS j FROM embeddings) GROUP BY label, j)"""
+PADDED_SCALE = repr(math.sqrt(math.pi / 2) / math.sqrt(WIDE)) + "::DOUBLE"
+PADDED_HITS = f"{index(**PADDED_INDEX)}, {scores(PADDED_LABELS, True, PADDED_SCALE, TOP_N, WIDE)}"
+
 HITS = f"SELECT qid, id, {r6('score')} AS score, rank FROM hits"
 
 
@@ -275,7 +288,14 @@ SELECT id, title, abstract FROM numbered WHERE n % {SAMPLE_EVERY} = 0""",
 SELECT doc_id, source, text FROM numbered WHERE n % {SAMPLE_EVERY} = 0""",
     "dimension_check": "SELECT len(embedding)::INT AS dim, count(*) AS vectors FROM embeddings GROUP BY 1",
     "index_profile": profile(),
-    "vector_normalize": coordinates(UNIT, "unit", "j", "x"),
+    "vector_normalize": coordinates(WIDE_RAW + UNITS, "unit", "j", "x"),
+    "rotate_padded": coordinates(f"{WIDE_RAW}, {rotation('rot', 'raw', MSE, dim=WIDE)}", "rot", "i", "y"),
+    "unrotate_cut": coordinates(WIDE_RAW, "raw", "j", "x"),
+    "index_build_padded": index_rows(**PADDED_INDEX),
+    "search_padded": f"WITH {PADDED_HITS} {HITS}",
+    "search_short_queries": f"WITH {label_hits()} {HITS}",
+    "search_stored": f"WITH {label_hits()} {HITS}",
+    "index_row_cap": f"SELECT * FROM ({index_rows()}) WHERE id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {INDEX_CAP})",
     "vector_pad": coordinates(f"{RAW}, ids AS (SELECT vec_id AS id, unnest(range({2 * DIM})) AS j FROM embeddings)",
                               "ids LEFT JOIN raw USING (id, j)", "j", "coalesce(x, 0)"),
     "rotate": coordinates(ROT, "rot", "i", "y"),

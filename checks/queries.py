@@ -5,7 +5,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import CARDS, CODEBOOK, DIM, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import CARDS, CODEBOOK, DIM, INDEX_CAP, PADDED, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 from latticode.functions import codes, text, vectors
 from latticode.functions.encoders import hashed_encoder
 from latticode.operators import codebook as cb
@@ -42,10 +42,17 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("abstract"), F.col("source").alias("authors"))
 
 
-def label_queries(spark: SparkSession, sf: str) -> DataFrame:
+def longer_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with half of their first coordinates behind them: neither of a
+    power of two nor of length one."""
+    more = F.transform(F.slice("embedding", 1, PADDED - DIM), lambda x: (x / 2).cast("float"))
+    return embeddings(spark, sf).withColumn("embedding", F.concat("embedding", more))
+
+
+def label_queries(spark: SparkSession, sf: str, vectors_of=embeddings) -> DataFrame:
     """One query per label: the mean of its vectors."""
     vector = array_to_vector(F.col("embedding").cast("array<double>"))
-    return (embeddings(spark, sf).groupBy("label").agg(Summarizer.mean(vector).alias("mean"))
+    return (vectors_of(spark, sf).groupBy("label").agg(Summarizer.mean(vector).alias("mean"))
             .select(F.col("label").cast("bigint").alias("qid"), vector_to_array("mean").alias("embedding")))
 
 
@@ -161,7 +168,7 @@ def index_profile(spark, sf):
 
 
 def vector_normalize(spark, sf):
-    return coordinates(embeddings(spark, sf).select("id", vectors.l2_normalize(F.col("embedding")).alias("v")), "v")
+    return coordinates(longer_embeddings(spark, sf).select("id", vectors.l2_normalize(F.col("embedding")).alias("v")), "v")
 
 
 def vector_pad(spark, sf):
@@ -177,6 +184,16 @@ def unrotate_roundtrip(spark, sf):
     return coordinates(rotated(spark, sf).select("id", back.alias("v")), "v")
 
 
+def rotate_padded(spark, sf):
+    turned = vectors.rotate(F.col("embedding"), MSE, PADDED)
+    return coordinates(longer_embeddings(spark, sf).select("id", turned.alias("v")), "v")
+
+
+def unrotate_cut(spark, sf):
+    turned = longer_embeddings(spark, sf).select("id", vectors.rotate(F.col("embedding"), MSE, PADDED).alias("rotated"))
+    return coordinates(turned.select("id", vectors.unrotate(F.col("rotated"), MSE, PADDED).alias("v")), "v")
+
+
 def codebook_step(spark, sf):
     points = rotated(spark, sf).select(F.explode_outer("rotated").alias("x"), F.lit(1.0).alias("w"))
     step = cb.lloyd_step(points, CODEBOOK)
@@ -258,6 +275,14 @@ def index_build(spark, sf):
     return index_rows(index(spark, sf))
 
 
+def padded_index(spark, sf):
+    return ix.build_index(longer_embeddings(spark, sf), CODEBOOK[4], 4, dim=PADDED)
+
+
+def index_build_padded(spark, sf):
+    return index_rows(padded_index(spark, sf))
+
+
 def index_union(spark, sf):
     return index_rows(index(spark, sf, 1).unionByName(index(spark, sf, 2)))
 
@@ -269,15 +294,25 @@ def index_write_read(spark, sf):
     return index_rows(tables.read_index(spark, path, 4, MSE, QJL))
 
 
-def index_job(spark, sf):
-    """Embeddings file to index file, as the job runs it."""
+def run_index_job(spark, sf, **options):
     source, base = tables.new_shared_path(spark, "embeddings"), tables.new_shared_path(spark, "indexes")
+    book, kept = tables.new_shared_path(spark, "codebook"), [
+        (DIM, b, i, c) for b, t in CODEBOOK.items() for i, c in enumerate(t)]
     tables.write_table(embeddings(spark, sf).select("id", "embedding"), source)
-    book = spark.createDataFrame([(DIM, b, i, c) for b, t in CODEBOOK.items() for i, c in enumerate(t)], cb.SCHEMA)
-    path = indexing.create_index(spark, source, base, book, 4, with_qjl=True)
+    tables.write_codebook(spark.createDataFrame(kept, cb.SCHEMA), book)
+    path = indexing.create_index(spark, source, base, tables.read_codebook(spark, book, DIM), 4, with_qjl=True, **options)
     return index_rows(tables.read_table(spark, path))
 
 
+def index_job(spark, sf):
+    """Embeddings file and codebook file to index files, as the job runs it."""
+    return run_index_job(spark, sf, rows_per_file=200)
+
+
+def index_row_cap(spark, sf):
+    return run_index_job(spark, sf, max_rows=INDEX_CAP)
+
+
 def index_stream_append(spark, sf):
     path, checkpoint = tables.new_shared_path(spark, "stream-index"), tables.new_shared_path(spark, "stream-log")
     source = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -360,6 +395,26 @@ def search_qjl_reference(spark, sf):
     return scored(hits(spark, sf, residual_sign="reference", alpha="reference"))
 
 
+def search_padded(spark, sf):
+    found = sr.search(padded_index(spark, sf), label_queries(spark, sf, longer_embeddings), CODEBOOK[4], TOP_N,
+                      dim=PADDED, codebook_dim=DIM)
+    return scored(found)
+
+
+def search_short_queries(spark, sf):
+    """Queries of a billionth of the length find the same rows."""
+    short = label_queries(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x * 1e-9))
+    found = sr.search(index(spark, sf), short, CODEBOOK[4], TOP_N, dim=DIM)
+    return scored(found.withColumn("score", F.col("score") * 1e9))
+
+
+def search_stored(spark, sf):
+    """Search of an index that was written before."""
+    path = tables.new_shared_path(spark, "index")
+    tables.write_index(index(spark, sf), path)
+    return scored(sr.search(tables.read_index(spark, path, 4, MSE, QJL), label_queries(spark, sf), CODEBOOK[4], TOP_N, dim=DIM))
+
+
 def search_documents(spark, sf):
     asked = label_queries(spark, sf).count() * TOP_N
     found = sr.attach_documents(hits(spark, sf), documents(spark, sf), max_hits=asked)
@@ -405,10 +460,10 @@ QUERIES = [
     embeddings_write_read, json_roundtrip, non_null_counts, valid_count, table_height, text_profile,
     text_profile_linear, sample_every_n,
     sample_every_n_files, dimension_check, index_profile, vector_normalize, vector_pad, rotate,
-    unrotate_roundtrip, codebook_step, codebook_fit, quantize_codes, quantize_histogram, pack_hex, unpack_codes,
+    unrotate_roundtrip, rotate_padded, unrotate_cut, codebook_step, codebook_fit, quantize_codes, quantize_histogram, pack_hex, unpack_codes,
     centroid_coordinates, dequantize, residual, residual_gamma, qjl_bits_hex, qjl_bits_values, index_build,
-    index_union, index_write_read, index_job, index_stream_append, index_size_report, index_verify,
+    index_build_padded, index_union, index_write_read, index_job, index_row_cap, index_stream_append, index_size_report, index_verify,
     reconstruction_error, query_lookup_table, score_one_query, search_mse, search_mse_tables, search_qjl, search_qjl_1bit,
-    search_qjl_2bit, search_qjl_reference, search_documents, search_documents_semi, search_text,
+    search_qjl_2bit, search_qjl_reference, search_padded, search_short_queries, search_stored, search_documents, search_documents_semi, search_text,
     search_questions, pca_variance, pca_components, cluster_vectors,
 ]
