@@ -191,6 +191,8 @@ def matrix_bytes(rows: np.ndarray) -> pa.Array:
 
 
 def byte_lists(array: pa.Array) -> pa.Array:
-    ends = np.cumsum([0, *pc.binary_length(array).to_numpy(zero_copy_only=False)], dtype=np.int32)
-    data = np.frombuffer(b"".join(array.to_pylist()), dtype=np.uint8).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(data))
+    """Bytes as lists of numbers, from the buffers as they are; no nulls."""
+    array = array.cast(pa.large_binary())
+    ends = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8) if len(array) else np.zeros(1, np.int64)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].astype(np.int32)
+    return pa.LargeListArray.from_arrays(pa.array(ends - ends[0]), pa.array(data)).cast(pa.list_(pa.int32()))
