@@ -167,7 +167,7 @@ def quality(lines: Lines, field: Field) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           documents: int = SAMPLE_DOCUMENTS, most_lines: int = SAMPLE_LINES, **options) -> Field:
     """The field for `labels` (id, good): fitted on at most `documents` labelled
-    rows of at most `most_lines` lines, chosen by a hash of the id.
+    rows of at most `most_lines` lines, chosen by a hash of the id, one row per id.
 
     Features are made by the tasks; what the driver collects and fits has that
     bound. Rows without text or label are left out. Without any label every
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col("id").alias("__id"), F.col("good").cast("int").alias("good")).orderBy(
         F.xxhash64("__id"), "__id").limit(documents)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(
-        F.broadcast(chosen), F.col("id") == F.col("__id")).select("text", "good")
+        F.broadcast(chosen), F.col("id") == F.col("__id")).select("__id", "text", "good").dropDuplicates(["__id"])
 
     def features(batches):
         for batch in batches:
@@ -187,9 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     for a, b in zip(lines.first[ok], lines.first[ok + 1])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                 batch["good"].take(pa.array(ok))], ["features", "length", "good"])
+                 batch["good"].take(pa.array(ok)), batch["__id"].take(pa.array(ok))],
+                ["features", "length", "good", "id"])
 
-    got = sample.mapInArrow(features, "features binary, length binary, good int").toArrow().slice(0, documents)
+    kind = chosen.schema["__id"].dataType.simpleString()
+    got = sample.mapInArrow(features, f"features binary, length binary, good int, id {kind}").toArrow().sort_by("id")
     each = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["features"].to_pylist()]
     if not each:
         return Field(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(3 * FEATURES + 1), np.zeros((2, 2)))

@@ -158,7 +158,7 @@ def _shared(part: Stretches, known: np.ndarray) -> np.ndarray:
 def _sent(table: pa.Table, known: np.ndarray, size: int, short: int) -> tuple[dict[tuple[int, bytes], int], np.ndarray]:
     """The block's distinct stretches in order of (key, bytes), each with its
     number, and the smallest document of each."""
-    docs, first = table["id"].fill_null(LAST).to_numpy(), {}
+    docs, first = table["id"].cast(pa.int64()).fill_null(LAST).to_numpy(), {}
     for i, data, _, part in _parts(table, size, short):
         raw = data.tobytes()
         for k in _shared(part, known).tolist():
@@ -226,7 +226,7 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
         # answers of the shards, in the order of their numbers
         told = blocks.bodies(answers.filter(pa.array(sender < 0)))[::-1]
         least = np.concatenate([np.zeros(0, np.int64), *[t[0] for t in told]])
-        docs_of, rows = table["id"].fill_null(LAST).to_numpy(), []
+        docs_of, rows = table["id"].cast(pa.int64()).fill_null(LAST).to_numpy(), []
         for i, data, offsets, part in _parts(table, size, short):
             raw, level = data.tobytes(), np.zeros(len(data) + 1, np.int64)
             for k in _shared(part, known).tolist():
