@@ -27,6 +27,8 @@ from latticode.llm.words import Words, chunks, mix, run_hashes, text_bytes, word
 #: Counters per byte of text behind the common order: many more than shingles,
 #: so few share one. Results do not depend on them, only the groups' sizes do.
 COUNTERS_PER_BYTE = 5
+#: Levels of a trie on which subtrees are left out before the rest is counted.
+LEVELS = 6
 #: Most sets of a group that one task compares; larger groups are cut.
 PIECE = 2048
 
@@ -65,61 +67,62 @@ def first_shingles(n: int, percent: int) -> int:
 
 
 class Trie(NamedTuple):
-    """Compressed trie of sorted sequences; edges are numbered level by level,
-    children of an edge follow each other, sets below it are a range."""
+    """Compressed trie of sorted sequences. Edges are numbered so that those
+    below an edge follow it; their labels and the sets below are ranges too."""
     tokens: np.ndarray   # the labels of all edges, one after another
-    begin: np.ndarray    # label of edge e: tokens[begin[e]:begin[e] + length[e]]
-    length: np.ndarray
+    begin: np.ndarray    # label of edge e: tokens[begin[e]:begin[e + 1]]
     depth: np.ndarray    # tokens from the root to the end of e
-    child: np.ndarray    # children of e: child[e]:child[e] + children[e]
-    children: np.ndarray
+    end: np.ndarray      # edges below e: e + 1 to end[e]
     low: np.ndarray      # sets below e: low[e]:high[e], in the order of the trie
     high: np.ndarray
     least: np.ndarray    # smallest and largest set below
     most: np.ndarray
-    roots: int
+    top: list[tuple[np.ndarray, np.ndarray]]  # edges of the first levels, and the place of each one's parent
+
+
+def _branches(sets: list[np.ndarray], low: int, high: int, depth: int) -> list[tuple[int, int, int, int]]:
+    """Edges (low, high, depth, end of the label) of sets that share `depth` tokens."""
+    out = []
+    if len(sets[low]) == depth:                      # it ends here: an edge without a label
+        out.append((low, low + 1, depth, depth))
+        low += 1
+    heads = np.array([sets[k][depth] for k in range(low, high)])
+    cuts = [low, *(low + 1 + np.flatnonzero(heads[1:] != heads[:-1])).tolist(), high] if low < high else []
+    for a, b in zip(cuts, cuts[1:]):
+        one, two = sets[a][depth:], sets[b - 1][depth:]
+        most = min(len(one), len(two))
+        apart = np.flatnonzero(one[:most] != two[:most])
+        out.append((a, b, depth, depth + (int(apart[0]) if len(apart) else most)))
+    return out
 
 
 def build_trie(sets: list[np.ndarray]) -> Trie:
     """The trie of distinct sets that are sorted as sequences."""
     size = np.array([len(s) for s in sets])
-    rows: list[tuple] = []
-    level = [(0, len(sets), 0)]                      # ranges that share `depth` tokens
-    links: list[tuple[int, int]] = []
-    roots = 0
-    while level:
-        spans = []
-        for low, high, depth in level:
-            at, first = low, len(rows)
-            while at < high and size[at] == depth:   # ends here: an edge without a label
-                rows.append((at, depth, 0, depth, at, at + 1))
-                spans.append(None)
-                at += 1
-            while at < high:
-                token, end = sets[at][depth], at + 1
-                while end < high and sets[end][depth] == token:
-                    end += 1
-                one, two = sets[at], sets[end - 1]
-                most = min(len(one), len(two))
-                apart = np.flatnonzero(one[depth:most] != two[depth:most])
-                stop = depth + int(apart[0]) if len(apart) else most
-                rows.append((at, depth, stop - depth, stop, at, end))
-                spans.append((at, end, stop) if end - at > 1 else None)
-                at = end
-            links.append((first, len(rows) - first))
-        roots = roots or len(rows)
-        level = [s for s in spans if s]
-    # an edge with more than one set below has the next entry of `links`
-    child, children, k = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), 1
-    for e, row in enumerate(rows):
-        if row[5] - row[4] > 1:
-            child[e], children[e] = links[k]
-            k += 1
-    source, begin, length, depth, low, high = (np.array(c, np.int64) for c in zip(*rows))
-    tokens = np.concatenate([sets[s][b:b + n] for s, b, n in zip(source, begin, length)])
-    return Trie(tokens, np.cumsum(length) - length, length, depth, child, children, low, high,
+    rows, parent, stack = [], [], [(edge, -1) for edge in reversed(_branches(sets, 0, len(sets), 0))]
+    while stack:
+        edge, above = stack.pop()
+        low, high, _, stop = edge
+        rows.append(edge)
+        parent.append(above)
+        if high - low > 1:
+            stack += [(e, len(rows) - 1) for e in reversed(_branches(sets, low, high, stop))]
+    low, high, start, depth = (np.array(c, np.int64) for c in zip(*rows))
+    below, level = np.ones(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for e in range(len(rows) - 1, -1, -1):
+        if parent[e] >= 0:
+            below[parent[e]] += below[e]
+    for e, above in enumerate(parent):
+        level[e] = level[above] + 1 if above >= 0 else 0
+    top, place = [], np.zeros(len(rows), np.int64)
+    for k in range(LEVELS):
+        edges = np.flatnonzero(level == k)
+        top.append((edges, place[np.array(parent)[edges]]))
+        place[edges] = np.arange(len(edges))
+    return Trie(np.concatenate([sets[a][b:c] for a, b, c in zip(low, start, depth)]),
+                np.concatenate([[0], np.cumsum(depth - start)]), depth, np.arange(len(rows)) + below, low, high,
                 np.array([size[a:b].min() for a, b in zip(low, high)]),
-                np.array([size[a:b].max() for a, b in zip(low, high)]), roots)
+                np.array([size[a:b].max() for a, b in zip(low, high)]), top)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -127,32 +130,49 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _overlaps(trie: Trie, edges: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Tokens of each edge's label that are inside."""
+    size = trie.begin[edges + 1] - trie.begin[edges]
+    hits = np.concatenate([[0], np.cumsum(inside[trie.tokens[_ranges(trie.begin[edges], size)]])])
+    ends = np.cumsum(size)
+    return hits[ends] - hits[ends - size]
+
+
 def probe(trie: Trie, x: np.ndarray, inside: np.ndarray, percent: int, done: np.ndarray) -> np.ndarray:
-    """Sets of the trie linked with x, in trie order, without those of `done`.
+    """Sets of the trie linked with x, in trie order.
 
     `inside` marks the tokens of x; `done` counts, up to each set, how many
-    need no look.
+    need no look. On the first levels subtrees are left by what remains of x
+    and of the sets below. What is left is counted at once: the overlap of a
+    path is the sum over edges begun before its end without those closed.
     """
-    edges, overlap, found = np.arange(trie.roots), np.zeros(trie.roots, np.int64), []
-    while len(edges):
-        look = done[trie.high[edges]] - done[trie.low[edges]] < trie.high[edges] - trie.low[edges]
-        edges, overlap = edges[look], overlap[look]
-        size = trie.length[edges]
-        hits = np.concatenate([[0], np.cumsum(inside[trie.tokens[_ranges(trie.begin[edges], size)]])])
-        ends = np.cumsum(size)
-        overlap = overlap + hits[ends] - hits[ends - size]
-        last = trie.tokens[np.minimum(trie.begin[edges] + np.maximum(size, 1) - 1, len(trie.tokens) - 1)]
-        rest = np.where(size > 0, len(x) - np.searchsorted(x, last, side="right"), len(x))
-        bound = overlap + np.minimum(rest, trie.most[edges] - trie.depth[edges])
-        go = bound >= needed(len(x), trie.least[edges], percent)
-        edges, overlap = edges[go], overlap[go]
-        leaf = trie.children[edges] == 0
-        ok = leaf & (overlap >= needed(len(x), trie.most[edges], percent))
-        found.append(trie.low[edges[ok]])
-        edges, overlap = edges[~leaf], overlap[~leaf]
-        overlap = np.repeat(overlap, trie.children[edges])
-        edges = _ranges(trie.child[edges], trie.children[edges])
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    found, alive, carried = [], np.ones(1, bool), np.zeros(1, np.int64)
+    for k, (edges, above) in enumerate(trie.top):
+        go = alive[above] if k else np.ones(len(edges), bool)
+        go &= done[trie.high[edges]] - done[trie.low[edges]] < trie.high[edges] - trie.low[edges]
+        at = np.flatnonzero(go)
+        edges_, overlap = edges[at], _overlaps(trie, edges[at], inside) + (carried[above[at]] if k else 0)
+        last = trie.tokens[np.maximum(trie.begin[edges_ + 1] - 1, 0)]
+        label = trie.begin[edges_ + 1] > trie.begin[edges_]
+        rest = np.where(label, len(x) - np.searchsorted(x, last, side="right"), len(x))
+        bound = overlap + np.minimum(rest, trie.most[edges_] - trie.depth[edges_])
+        keep = bound >= needed(len(x), trie.least[edges_], percent)
+        leaf = trie.end[edges_] == edges_ + 1
+        found.append(trie.low[edges_[leaf & (overlap >= needed(len(x), trie.most[edges_], percent))]])
+        alive, carried = np.zeros(len(edges), bool), np.zeros(len(edges), np.int64)
+        alive[at] = keep & ~leaf
+        carried[at] = overlap
+        if not alive.any():
+            return np.concatenate(found)
+    first = trie.top[-1][0][alive]
+    below = trie.end[first] - first - 1
+    edges = _ranges(first + 1, below)
+    own, n = _overlaps(trie, edges, inside), len(edges)
+    closed = np.bincount(np.arange(n) + trie.end[edges] - edges, own, n + 1)[:n]
+    overlap = np.cumsum(own) - np.cumsum(closed).astype(np.int64) + np.repeat(carried[alive], below)
+    leaf = trie.end[edges] == edges + 1
+    found.append(trie.low[edges[leaf & (overlap >= needed(len(x), trie.most[edges], percent))]])
+    return np.concatenate(found)
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
