@@ -23,7 +23,9 @@ from latticode.llm.words import chunks, run_hashes, text_bytes
 
 SIZE = 50
 SHORT = 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of a block: half of the usual, as every place of a text has a hash.
+BLOCK_BYTES = blocks.BLOCK_BYTES // 2
 LAST = np.iinfo(np.int64).max
 
 
@@ -170,7 +172,7 @@ def _sent(table: pa.Table, known: np.ndarray, size: int, short: int) -> tuple[di
 
 
 def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                           short: int = SHORT, block_bytes: int = blocks.BLOCK_BYTES,
+                           short: int = SHORT, block_bytes: int = BLOCK_BYTES,
                            keep_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per row.
 
