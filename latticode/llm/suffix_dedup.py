@@ -183,7 +183,7 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives no rows; other columns are not read.
     """
     texts, n = blocks.blocked(docs, id_col, text_col, block_bytes)
-    shards = 6 * n  # a sort holds some twenty times its bytes
+    shards = 16 * n  # a sort holds some twenty-five times its bytes
 
     def first(block: int, table: pa.Table) -> list:
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[
