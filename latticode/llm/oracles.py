@@ -76,4 +76,46 @@ SELECT d.doc_id, CAST(len(t) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-SQL = {"op4_suffix_dedup": OP4, "op10_jaccard_join": OP10, "op6_substring_dedup": OP6, "op8_mixing": OP8, "op9_exact_dedup": OP9}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS h FROM d),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+g AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM g GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT l.lang, count(term) AS v, coalesce(sum(lang_n), 0) AS lang_total
+      FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN k ON l.lang = k.lang GROUP BY l.lang),
+s AS (SELECT x.lang, x.source, v, lang_total, coalesce(total, 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) x JOIN v ON x.lang = v.lang
+      LEFT JOIN (SELECT g.lang, source, sum(n) AS total FROM g JOIN k USING (lang, term) GROUP BY ALL) y
+             ON x.lang = y.lang AND x.source = y.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(g.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(g.n, 0) + 2)) // (total + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS q
+      FROM s JOIN k ON s.lang = k.lang LEFT JOIN g ON g.lang = s.lang AND g.source = s.source AND g.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+SQL = {"op11_fill_middle": OP11, "op13_divergence": OP13,
+       "op4_suffix_dedup": OP4, "op10_jaccard_join": OP10,
+       "op6_substring_dedup": OP6, "op8_mixing": OP8, "op9_exact_dedup": OP9}

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticode.llm import backoff_lm, exact_dedup, jaccard_join, mixing, pieces, quality_crf, quality_rules, sharding, substring_dedup, suffix_dedup
+from latticode.llm import backoff_lm, divergence, exact_dedup, fill_middle, html_text, jaccard_join, mixing, pieces, quality_crf, quality_rules, sharding, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,4 +90,23 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = [op1_sharding, op2_quality_rules, op3_quality_crf, op4_suffix_dedup, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup, op10_jaccard_join]
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document cut and put together in another order, and back."""
+    return fill_middle.fill_in_middle(_documents(spark, sf)).select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(fill_middle.restored("output", "form"), "UTF-8"), 256).alias("restored_sha256"))
+
+
+def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page, from the paths its host agrees on."""
+    return html_text.extract_text(spark.read.parquet(f"{sf}/pages.parquet")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each apart."""
+    return divergence.audit_sources(_documents(spark, sf))
+
+
+QUERIES = [op1_sharding, op2_quality_rules, op3_quality_crf, op4_suffix_dedup, op5_backoff_lm, op6_substring_dedup, op7_pieces, op8_mixing, op9_exact_dedup, op10_jaccard_join, op11_fill_middle, op12_html_text, op13_divergence]
