@@ -25,7 +25,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 MIN_DOCS = 10
 TOP = 10
 #: Terms that a task counts before it hands on what it has.
-HELD_TERMS = 300_000
+HELD_TERMS = 800_000
 #: Sources and terms of a tile: one block of sources against another.
 TILE_SOURCES = 128
 TILE_TERMS = 512
@@ -215,10 +215,9 @@ def audit_sources(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP,
     """
     named = docs.select(text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"),
                         text_or_empty(text_col).alias("text"))
-    counts = written(term_counts(named), "terms")
-    vocabulary = (counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs"))
-                  .where(F.col("lang_docs") >= min_docs).drop("lang_docs"))
-    kept = written(counts.drop("docs").join(vocabulary, ["lang", "term"]), "kept")
+    everywhere = Window.partitionBy("lang", "term")  # one row per source
+    kept = written(term_counts(named).select("*", F.sum("n").over(everywhere).alias("lang_n"), F.sum("docs").over(everywhere).alias("in"))
+                   .where(F.col("in") >= min_docs).drop("docs", "in"), "kept")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     words = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(
         F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
