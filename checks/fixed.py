@@ -21,3 +21,12 @@ PADDED = 96
 # The questions the reference asks, and how many results it shows.
 QUESTIONS = [(0, "What is the social impact of war?"), (1, "Retrieval Augmented Generation, RAG")]
 CARDS = 12
+# Cells of a laid out index, how many of them a quick search reads, and how far
+# the vectors of a label are moved along an axis to form a group.
+CELLS = 16
+PROBES = 12
+PUSH = 3.0
+# One line of this many is spoiled, in each of three ways.
+BROKEN_EVERY = 10
+# Vectors that a step of k-means starts from.
+CLUSTERS = 8

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from checks.fixed import CARDS, CODEBOOK, DIM, INDEX_CAP, PADDED, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import BROKEN_EVERY, CARDS, CLUSTERS, CODEBOOK, DIM, INDEX_CAP, PADDED, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 
 MSE, QJL = 42, 24
 UNBIASED = repr(math.sqrt(math.pi / 2) / math.sqrt(DIM)) + "::DOUBLE"
@@ -132,6 +132,15 @@ PADDED_LABELS = f"""asked AS (SELECT label AS qid, j, avg(x) AS x FROM
 PADDED_SCALE = repr(math.sqrt(math.pi / 2) / math.sqrt(WIDE)) + "::DOUBLE"
 PADDED_HITS = f"{index(**PADDED_INDEX)}, {scores(PADDED_LABELS, True, PADDED_SCALE, TOP_N, WIDE)}"
 
+# Vectors that form groups: every label's are moved along an axis of its own.
+MOVED = f"(x + CASE WHEN j = label * 6 THEN {PUSH} ELSE 0 END::FLOAT)::FLOAT::DOUBLE"
+GROUPED_RAW = f"""raw AS (SELECT id, j, {MOVED} AS x FROM (SELECT vec_id AS id, label, unnest(embedding) AS x,
+  generate_subscripts(embedding, 1) - 1 AS j FROM embeddings))"""
+GROUPED_LABELS = f"""asked AS (SELECT label::BIGINT AS qid, j, avg({MOVED}) AS x FROM (SELECT label, unnest(embedding) AS x,
+  generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) GROUP BY label, j)"""
+GROUPED_HITS = f"{index(unit=GROUPED_RAW + UNITS)}, {scores(GROUPED_LABELS, True, UNBIASED, TOP_N)}"
+SPOILED = f"spoiled AS (SELECT *, id % {BROKEN_EVERY} AS turn FROM papers)"
+
 HITS = f"SELECT qid, id, {r6('score')} AS score, rank FROM hits"
 
 
@@ -333,6 +342,24 @@ SELECT id, {r6('m')} AS mse_score, {r6('d')} AS qjl_dot, {r6(UNBIASED + ' * gamm
     "search_qjl_1bit": f"WITH {label_hits(1)} {HITS}",
     "search_qjl_2bit": f"WITH {label_hits(2)} {HITS}",
     "search_qjl_reference": f"WITH {label_hits(reference=True)} {HITS}",
+    **{name: f"WITH {label_hits()} {HITS}" for name in (
+        "search_grid", "search_cells", "search_cells_all", "search_cascade", "search_cascade_2bit", "search_standing")},
+    "search_cells_grouped": f"WITH {GROUPED_HITS} {HITS}",
+    "search_grid_text": f"WITH {BENCHMARK_HITS} {HITS}",
+    "cell_ranges": f"""WITH {index()}, far AS (SELECT id, sqrt(sum(c * c)) AS d FROM q GROUP BY id)
+SELECT count(*) AS n, (SELECT {r6('max(gamma)')} FROM gam) AS gamma, (SELECT {r6('max(d)')} FROM far) AS radius,
+  i::INT AS pos, min(code) AS low, max(code) AS high FROM q GROUP BY i""",
+    "kmeans_step": f"""WITH {RAW}, d AS (SELECT a.id, b.id AS c, round(sum((a.x - b.x) * (a.x - b.x)), 9) AS cost
+  FROM raw a JOIN raw b ON a.j = b.j WHERE b.id < {CLUSTERS} GROUP BY a.id, b.id),
+near AS (SELECT id, c, cost FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, c) = 1),
+size AS (SELECT c, count(*) AS n, sum(cost) AS cost FROM near GROUP BY c)
+SELECT c::INT AS cluster, n, {r6('size.cost')} AS cost, j::INT AS pos, {r6('avg(x)')} AS x
+FROM raw JOIN near USING (id) JOIN size USING (c) GROUP BY c, n, size.cost, j""",
+    "index_compacted": index_rows(),
+    "json_checked": f"""WITH {PAPERS}, {SPOILED} SELECT id::VARCHAR AS id, title, abstract, authors,
+  CASE WHEN turn = 4 THEN 'x' END AS venue FROM spoiled WHERE turn NOT IN (1, 2, 3)""",
+    "json_rejected": f"""WITH {PAPERS}, {SPOILED} SELECT CASE turn WHEN 1 THEN 'not JSON' WHEN 2 THEN 'wrong type' ELSE 'no key' END AS reason,
+  count(*) AS rows, true AS numbered FROM spoiled WHERE turn IN (1, 2, 3) GROUP BY turn""",
     "search_documents": f"""WITH {label_hits()}, {PAPERS} SELECT qid, rank, id, {r6('score')} AS score, title
 FROM hits JOIN papers USING (id)""",
     "search_documents_semi": f"WITH {label_hits()}, {PAPERS} SELECT id, title FROM papers WHERE id IN (SELECT id FROM hits)",

@@ -5,9 +5,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import CARDS, CODEBOOK, DIM, INDEX_CAP, PADDED, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import BROKEN_EVERY, CARDS, CELLS, CLUSTERS, CODEBOOK, DIM, INDEX_CAP, PADDED, PROBES, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 from latticode.functions import codes, text, vectors
 from latticode.functions.encoders import hashed_encoder
+from latticode.operators import cascade, cells, grid, kmeans
 from latticode.operators import codebook as cb
 from latticode.operators import index as ix
 from latticode.operators import reduction as rd
@@ -15,8 +16,8 @@ from latticode.operators import rows as rw
 from latticode.operators import search as sr
 from latticode.operators import stats as st
 from latticode.plans import exploration, indexing, papers, retrieval
-from latticode.sources import tables
-from latticode.streaming import index_stream
+from latticode.sources import checked, tables, versions
+from latticode.streaming import index_stream, standing
 
 MSE, QJL = ix.MSE_SEED, ix.QJL_SEED
 ENCODER = hashed_encoder(DIM)
@@ -437,6 +438,122 @@ def search_questions(spark, sf):
     return scored(papers.result_cards(found)).select("qid", "rank", "id", "score", "title", "snippet", "link")
 
 
+# Search of laid out indexes, query tables and streams.
+
+
+def grouped_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors moved along one axis per label, so that they form groups."""
+    moved = F.transform("embedding", lambda x, i: x + F.when(i == F.col("label") * 6, PUSH).otherwise(0.0).cast("float"))
+    return embeddings(spark, sf).withColumn("embedding", moved)
+
+
+def search_grid(spark, sf):
+    """Queries as a table: blocks of queries against blocks of the index."""
+    return scored(grid.search_grid(index(spark, sf), label_queries(spark, sf), CODEBOOK[4], TOP_N, dim=DIM))
+
+
+def search_grid_text(spark, sf):
+    """Every benchmark text as a query, from text to hits as tables."""
+    asked = retrieval.encode_queries(benchmark_queries(spark, sf), ENCODER)
+    return scored(grid.search_grid(text_index(spark, sf), asked, CODEBOOK[4], TOP_N, dim=DIM))
+
+
+def cell_hits(spark, sf, vectors_of=embeddings, **options):
+    built = ix.build_index(vectors_of(spark, sf), CODEBOOK[4], 4, dim=DIM)
+    rows, kept = cells.in_cells(built, CODEBOOK[4], CELLS, dim=DIM)
+    return cells.search_cells(rows, kept, label_queries(spark, sf, vectors_of), CODEBOOK[4], TOP_N, dim=DIM, **options)
+
+
+def search_cells(spark, sf):
+    """Cells in the order of their bounds, until no other can matter."""
+    return scored(cell_hits(spark, sf))
+
+
+def search_cells_grouped(spark, sf):
+    """The same on vectors that form groups, where most cells are not read."""
+    return scored(cell_hits(spark, sf, grouped_embeddings))
+
+
+def search_cells_all(spark, sf):
+    """As many nearest cells as there are."""
+    return scored(cell_hits(spark, sf, probes=CELLS))
+
+
+def search_cells_near(spark, sf):
+    """Some nearest cells only: most of the hits."""
+    return scored(cell_hits(spark, sf, probes=PROBES))
+
+
+def cell_ranges(spark, sf):
+    """What is kept of one cell that holds every row."""
+    rows, kept = cells.in_cells(index(spark, sf), CODEBOOK[4], 1, dim=DIM)
+    low, high = (codes.byte_values(F.col(c)) for c in ("low", "high"))
+    return kept.select("n", r6(F.col("gamma")).alias("gamma"), r6(F.col("radius")).alias("radius"),
+                       F.posexplode_outer(F.arrays_zip(low.alias("low"), high.alias("high"))).alias("pos", "range")).select(
+        "n", "gamma", "radius", "pos", "range.low", "range.high")
+
+
+def search_cascade(spark, sf):
+    """One bit per coordinate bounds the scores; only rows it lets through are scored."""
+    built = tables.stored(index(spark, sf), "index")
+    sketch = tables.stored(cascade.code_sketch(built, CODEBOOK[4], dim=DIM), "sketch")
+    return scored(cascade.search_cascade(built, sketch, label_queries(spark, sf), CODEBOOK[4], TOP_N, dim=DIM))
+
+
+def search_cascade_2bit(spark, sf):
+    built = tables.stored(index(spark, sf), "index")
+    sketch = tables.stored(cascade.code_sketch(built, CODEBOOK[4], dim=DIM, prefix_bits=2), "sketch")
+    return scored(cascade.search_cascade(built, sketch, label_queries(spark, sf), CODEBOOK[4], TOP_N, dim=DIM, prefix_bits=2))
+
+
+def search_standing(spark, sf):
+    """Hits of standing queries after a stream has brought the vectors in parts."""
+    folder, path, log = (tables.new_shared_path(spark, name) for name in ("arriving", "standing", "standing-log"))
+    embeddings(spark, sf).repartition(3, "id").write.parquet(folder)
+    asked = tables.stored(label_queries(spark, sf), "standing-queries")
+    stream = index_stream.read_embeddings_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    standing.watch(stream, asked, CODEBOOK[4], path, log, TOP_N, DIM).awaitTermination()
+    return scored(standing.current_hits(spark, path))
+
+
+def index_compacted(spark, sf):
+    """An index of many small files, packed, read by its manifest."""
+    path = tables.new_shared_path(spark, "index")
+    tables.write_index(index(spark, sf).repartition(12), path)
+    versions.start_versions(spark, path)
+    versions.compact(spark, path, 8 << 20)
+    return index_rows(versions.read_version(spark, path))
+
+
+def spoiled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as NDJSON lines, one in `BROKEN_EVERY` cut off, one with a number
+    for a title, one without an id, and a field that papers do not have."""
+    docs = documents(spark, sf)
+    turn = F.col("id") % BROKEN_EVERY
+    title = F.to_json(F.struct(F.col("id").alias("title")))
+    line = F.to_json(F.struct(F.when(turn != 3, F.col("id").cast("string")).alias("id"), "title", "abstract", "authors",
+                              F.when(turn == 4, F.lit("x")).alias("venue")))
+    spoiled = F.when(turn == 1, F.expr("left(line, length(line) - 1)")).when(turn == 2, title).otherwise(F.col("line"))
+    path = tables.new_shared_path(spark, "spoiled")
+    docs.withColumn("line", line).repartitionByRange(3, "id").sortWithinPartitions("id").select(spoiled.alias("value")).write.text(path)
+    return checked.read_lines(spark, path)
+
+
+def json_checked(spark, sf):
+    """The good rows of broken NDJSON."""
+    rows, _ = checked.check_lines(spoiled_lines(spark, sf))
+    return rows.select("id", "title", "abstract", "authors", F.element_at("extra", "venue").alias("venue"))
+
+
+def json_rejected(spark, sf):
+    """How many lines are rejected, for which reason, and where the lines are."""
+    lines = spoiled_lines(spark, sf)
+    _, rejected = checked.check_lines(lines)
+    placed = lines.groupBy("file").agg(F.max("line").alias("last"), F.count("*").alias("n"), F.countDistinct("line").alias("different"))
+    sound = placed.agg(F.bool_and((F.col("last") == F.col("n")) & (F.col("n") == F.col("different"))).alias("numbered"))
+    return rejected.groupBy("reason").agg(F.count("*").alias("rows")).crossJoin(F.broadcast(sound))  # one row
+
+
 # PCA and clusters.
 
 
@@ -451,6 +568,15 @@ def pca_components(spark, sf):
     return rd.components_for(rd.explained_variance(df, rd.fit_pca(df)))
 
 
+def kmeans_step(spark, sf):
+    """One step from the first vectors as centers: members and means."""
+    points = embeddings(spark, sf)
+    centers = [r.embedding for r in points.where(F.col("id") < CLUSTERS).orderBy("id").collect()]
+    moved = kmeans.lloyd_step(points, centers)
+    return moved.select("cluster", "n", r6(F.col("cost")).alias("cost"), F.posexplode_outer("center").alias("pos", "x")).select(
+        "cluster", "n", "cost", "pos", r6(F.col("x")).alias("x"))
+
+
 def cluster_vectors(spark, sf):
     return exploration.cluster_vectors(embeddings(spark, sf), "id", every=1).select("id", "cluster")
 
@@ -465,5 +591,6 @@ QUERIES = [
     index_build_padded, index_union, index_write_read, index_job, index_row_cap, index_stream_append, index_size_report, index_verify,
     reconstruction_error, query_lookup_table, score_one_query, search_mse, search_mse_tables, search_qjl, search_qjl_1bit,
     search_qjl_2bit, search_qjl_reference, search_padded, search_short_queries, search_stored, search_documents, search_documents_semi, search_text,
-    search_questions, pca_variance, pca_components, cluster_vectors,
+    search_questions, search_grid, search_grid_text, search_cells, search_cells_grouped, search_cells_all, search_cells_near,
+    cell_ranges, search_cascade, search_cascade_2bit, search_standing, index_compacted, json_checked, json_rejected, pca_variance, pca_components, kmeans_step, cluster_vectors,
 ]

@@ -104,7 +104,7 @@ def score_rows(index: DataFrame, query: Sequence[float], codebook: DataFrame | S
             .withColumn("score", F.col("mse_score") + F.col("qjl_score")))
 
 
-class _Best:
+class BestRows:
     """The best `n` rows per query seen so far in a task, ties by id.
 
     New rows wait until there are as many as kept ones, so a sort of all of
@@ -188,7 +188,7 @@ def _score_group(index: DataFrame, qids: pa.Array, rotated: np.ndarray, qjl_rota
                        for i in range(len(qid_values))]
         else:
             scores, queries = scores_by_product, np.hstack(parts).T
-        found = _Best(len(qid_values), top_n, id_type)
+        found = BestRows(len(qid_values), top_n, id_type)
         for batch in batches:
             batch = batch.filter(batch["packed"].is_valid())
             for at in range(0, batch.num_rows, step):

@@ -34,6 +34,14 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"{name}-{uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a new shared folder and read back: this cuts the
+    lineage, survives lost executors, and tells Spark the table's size."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_papers(spark: SparkSession, path: str, schema: str = PAPERS_SCHEMA) -> DataFrame:
     """NDJSON papers with a fixed schema, so no pass is spent on inferring it."""
     return spark.read.schema(schema).json(path)

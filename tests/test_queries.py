@@ -8,7 +8,7 @@ from checks.queries import QUERIES
 from conftest import DATA
 
 SF = f"{DATA}/sf0.001"
-ITERATIVE = {"codebook_fit", "pca_variance", "pca_components", "cluster_vectors"}
+ITERATIVE = {"codebook_fit", "pca_variance", "pca_components", "cluster_vectors", "search_cells_near"}
 
 
 @pytest.fixture(scope="module")

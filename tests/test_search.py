@@ -140,7 +140,7 @@ def test_rows_that_are_not_finite_take_no_place(spark, vectors_df, queries):
                           *index.columns[3:])
         holes = holes.unionByName(lost)
     assert collected(sr.search(holes.coalesce(1), queries, CODEBOOK[4], 10)) == whole
-    best = sr._Best(1, 10, pa.int64())
+    best = sr.BestRows(1, 10, pa.int64())
     best.add(np.r_[np.full(12, np.nan), np.arange(38.0)][:, None], pa.array(range(50)))
     assert best.finish()["id"].to_pylist() == list(range(49, 39, -1))
 
