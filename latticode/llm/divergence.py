@@ -25,7 +25,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 MIN_DOCS = 10
 TOP = 10
 #: Terms that a task counts before it hands on what it has.
-HELD_TERMS = 800_000
+HELD_TERMS = 250_000
 #: Sources and terms of a tile: one block of sources against another.
 TILE_SOURCES = 128
 TILE_TERMS = 512
@@ -43,6 +43,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", held: int = HELD_TERMS)
     """
     def count(batches):
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (total, found) in groups.items():
@@ -60,12 +61,13 @@ def term_counts(docs: DataFrame, text_col: str = "text", held: int = HELD_TERMS)
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts):
                 total, found = groups.setdefault((lang, source), (Counter(), Counter()))
                 terms = TERM.findall(text.as_buffer().to_pybytes().lower())
+                size -= len(total)
                 total.update(terms)
                 found.update(set(terms))
-                if len(total) > held // 8 and sum(len(t) for t, _ in groups.values()) > held:
+                size += len(total)
+                if size > held:
                     yield from flush()
-            if sum(len(t) for t, _ in groups.values()) + len(groups) > held:
-                yield from flush()
+                    size = 0
         yield from flush()
 
     rows = docs.select("lang", "source", text_or_empty(text_col).alias("text"))
