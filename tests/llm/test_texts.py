@@ -258,8 +258,18 @@ def test_pieces_agree_with_the_library(shared_rows, none):
         ids = own.encode(t)
         assert ids == own.library.encode(t, add_eos=True)
         assert own.decode(ids) == own.library.decode(ids)
-        word = t.replace(" ", "▁")
-        assert own._short(word) == own._long(word)
+    assert [own.encode(t) for t in odd] == [own.library.encode(t, add_eos=True) for t in odd]
+    words = sorted({w for t in odd for w in ("▁" + t.replace(" ", "▁"), t[:40], t[:2])})
+    ids, ends = own.merge_words(words)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [own.merge(w) for w in words]
+    ids, ends, back = own.encode_texts(odd)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == own.library.encode(odd, add_eos=True)
+    assert back == own.library.decode(own.library.encode(odd, add_eos=True))
+    pieces.check(own, odd, ids, ends, back)
+    with pytest.raises(ValueError, match="encoder"):
+        pieces.check(own, odd, np.where(np.arange(len(ids)) == 7, 99, ids), ends, back)
+    with pytest.raises(ValueError, match="decoder"):
+        pieces.check(own, odd, ids, ends, [*back[:-1], "x"])
     for _ in range(3000):
         ids = [rng.choice([rng.randrange(3, 259), rng.randrange(32000)]) for _ in range(rng.randint(0, 9))]
         assert own.decode(ids) == own.library.decode(ids)
