@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticode.llm.words import chunks, mix, run_hashes, text_bytes, words
+from latticode.llm.words import byte_hashes, chunks, mix, text_bytes, words
 
 #: Bounds of the sample that the field is fitted on.
 SAMPLE_DOCUMENTS = 4000
@@ -71,7 +71,7 @@ def line_features(texts: pa.Array) -> Lines:
     distinct = np.zeros(len(used))
     _, at = np.unique(mix(w.hashes + row.astype(np.uint64)), return_index=True)
     np.add.at(distinct, row[at], 1)
-    body = run_hashes(w.data, low, high)
+    body = byte_hashes(w.data, low, high)
     _, inverse, times = np.unique(mix(body + doc.astype(np.uint64)), return_inverse=True, return_counts=True)
     letters, upper = count(_UPPER) + count(_LOWER), count(_UPPER)
     long, n = np.maximum(length, 1), np.maximum(per, 1).astype(float)

@@ -18,6 +18,8 @@ from latticode.llm.tables import text_or_empty, written
 MAX_PARTS = 2048
 MAX_SLICES = 2048
 SLICE_ROWS = 1_000_000
+#: The library draws from fewer rows than this.
+LIBRARY_LIMIT = 1_000_000_000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -25,6 +27,38 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards, np.int64) + (np.arange(shards) < rows % shards)
 
 
+def draw_first(rng: np.random.Generator, first: int, rest: int, n: int, limit: int = LIBRARY_LIMIT) -> int:
+    """How many of n rows, drawn without replacement, are among the `first` of
+    `first` + `rest`. Beyond the library's limit the law is summed up from its
+    middle, by the ratios of neighbouring counts, as far as doubles tell it
+    from 0 (12 standard deviations)."""
+    if first + rest < limit:
+        return int(rng.hypergeometric(first, rest, n))
+    share = first / (first + rest)
+    reach = int(12 * (n * share * (1 - share)) ** 0.5) + 40
+    middle = min(max((n + 1) * (first + 1) // (first + rest + 2), n - rest, 0), n, first)
+    low, high = max(0, n - rest, middle - reach), min(n, first, middle + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = (first - k) * (n - k) / ((k + 1) * (float(rest - n) + k + 1))
+    up, down = np.cumprod(ratio[middle - low:]), np.cumprod(1 / ratio[:middle - low][::-1])
+    total = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return low + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
+
+
+def draw_slices(rng: np.random.Generator, left: np.ndarray, n: int, limit: int = LIBRARY_LIMIT) -> np.ndarray:
+    """n rows drawn without replacement from slices with `left` places: how many
+    from each. Too many places for the library are drawn by halves."""
+    places = int(left.sum())
+    if places < limit:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    if len(left) == 1:
+        return np.array([n], np.int64)
+    half = len(left) // 2
+    first = int(left[:half].sum())
+    k = draw_first(rng, first, places - first, n, limit)
+    return np.concatenate([draw_slices(rng, left[:half], k, limit), draw_slices(rng, left[half:], n - k, limit)])
+
+
 def communication_matrix(have: np.ndarray, want: np.ndarray, seed: int) -> np.ndarray:
     """Rows from each partition to each slice: sums are `have` and `want`.
 
@@ -34,7 +68,7 @@ def communication_matrix(have: np.ndarray, want: np.ndarray, seed: int) -> np.nd
     rng, left = np.random.default_rng(seed), want.astype(np.int64).copy()
     out = np.zeros((len(have), len(want)), np.int64)
     for i, n in enumerate(have):
-        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+        out[i] = draw_slices(rng, left, int(n))
         left -= out[i]
     return out
 

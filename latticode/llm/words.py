@@ -1,8 +1,12 @@
 """Words of a column of texts as NumPy arrays, and 64-bit hashes of them.
 
-A hash of a run is a sum of mixed values times powers of an odd number, taken
-from prefix sums, so that all windows of any length cost one pass. Two given
-different runs share a hash about once in 2^64 times.
+A word's hash (or a line's) is a sum over its blocks of eight bytes, each mixed
+with its place before it is added. The hash of a window of words is a sum of
+their hashes times powers of an odd number, taken from prefix sums, so that all
+windows cost one pass. Sums modulo 2^64 of powers alone are unsafe for long runs
+(two words of a thousand letters in the Thue-Morse order would agree), which is
+why bytes are not summed that way and windows are short. Two given different
+runs share a hash about once in 2^64 times.
 """
 
 from functools import lru_cache
@@ -46,7 +50,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for every pair; starts do not decrease."""
+    """Hash of values[start:end] for every pair of a short run; starts do not
+    decrease."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         low = int(starts[i])
@@ -63,6 +68,23 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for every pair, by its blocks of eight bytes."""
+    size = (ends - starts).astype(np.int64)
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words_at = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    value = words_at[np.repeat(starts, blocks) + 8 * place]
+    left = np.repeat(size, blocks) - 8 * place
+    short = left < 8
+    value[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    mixed = np.append(mix(value + (place + 1).astype(np.uint64) * np.uint64(_BASE)), np.uint64(0))
+    total = np.where(blocks > 0, np.add.reduceat(mixed, first), np.uint64(0)) if len(size) else np.zeros(0, np.uint64)
+    return mix(total + size.astype(np.uint64) * np.uint64(_BASE))
+
+
 class Words(NamedTuple):
     data: np.ndarray
     starts: np.ndarray
@@ -95,7 +117,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     closes = inside
     closes[:-1] &= ~inside[1:] | begins[1:-1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), run_hashes(data, starts, ends))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), byte_hashes(data, starts, ends))
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

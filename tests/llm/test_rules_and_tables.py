@@ -1,6 +1,7 @@
 """Sharding, quality rules, mixing and exact duplicates."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -162,3 +163,25 @@ def test_exact_groups(spark, awkward, none):
     assert sorted((r["doc_id"] for r in stay.collect()), key=order) == sorted(
         (sorted(v, key=order)[0] for v in groups.values()), key=order)
     assert exact_dedup.duplicate_groups(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
+
+
+@pytest.mark.parametrize("have, want", [([3 * 10 ** 9] * 2 + [7, 0], [1 * 10 ** 9] * 6 + [7]), ([10 ** 12], [10 ** 12 // 8] * 8),
+                                        ([5 * 10 ** 8] * 8, [2 * 10 ** 9] * 2)])
+def test_matrices_of_more_rows_than_the_library_draws_from(have, want):
+    have, want = np.array(have, np.int64), np.array(want, np.int64)
+    matrix = sharding.communication_matrix(have, want, 3)
+    assert (matrix >= 0).all() and (matrix.sum(axis=0) == want).all() and (matrix.sum(axis=1) == have).all()
+    mean = have[:, None] * (want / want.sum())[None, :]
+    assert (np.abs(matrix - mean) <= 6 * np.sqrt(mean) + 1).all()
+
+
+def test_the_two_ways_to_draw_follow_one_law():
+    rng = np.random.default_rng(8)
+    for first, rest, n in ((30, 50, 20), (5, 3, 6), (0, 9, 4), (400, 2, 300), (7, 0, 3)):
+        ours = np.bincount([sharding.draw_first(rng, first, rest, n, 1) for _ in range(20_000)], minlength=n + 1)
+        law = np.array([math.comb(first, k) * math.comb(rest, n - k) / math.comb(first + rest, n) if n - k <= rest else 0.0
+                        for k in range(n + 1)])
+        assert (np.abs(ours / 20_000 - law) <= 5 * np.sqrt(law / 20_000) + 1e-4).all()
+    parts = np.array([sharding.draw_slices(rng, np.array([4, 1, 7, 3]), 9, 1) for _ in range(4_000)])
+    assert (parts.sum(axis=1) == 9).all() and (parts <= [4, 1, 7, 3]).all()
+    assert np.abs(parts.mean(axis=0) - 9 * np.array([4, 1, 7, 3]) / 15).max() < 0.06

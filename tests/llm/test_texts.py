@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from latticode.llm import backoff_lm, blocks, components, jaccard_join, pieces, quality_crf, substring_dedup, suffix_dedup
 from latticode.llm.queries import field_of, model_path, op3_quality_crf
@@ -323,3 +324,35 @@ def test_held_out_quality(spark, shared_rows, none):
     assert quality_crf.with_quality(none, field, name="size").count() == 0
     nothing = quality_crf.train(none, spark.createDataFrame([], "id long, good boolean"))
     assert {r["quality"] for r in quality_crf.with_quality(shared_rows, nothing).collect()} == {0.5}
+
+
+@pytest.fixture(scope="module")
+def twins():
+    """Two words of 1,024 letters that sums of powers modulo 2^64 cannot tell apart."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_twin_words_have_hashes_of_their_own(spark, twins):
+    w = words(pa.array([*twins, twins[0], "", twins[0] + "a", "x" * 8, "x" * 9, "x" * 16, "x" * 7]))
+    assert w.hashes[0] == w.hashes[2] and len(set(w.hashes.tolist())) == 7
+    one = spark.createDataFrame([(1, twins[0]), (2, twins[1])], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in jaccard_join.near_duplicates(one).collect()}
+    assert got == {1: 1, 2: 2}
+    rest = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{twins[0]} {rest}"), (2, f"{twins[1]} {rest}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0}
+    scored = backoff_lm.score_documents(docs, F.col("doc_id") == 1).collect()
+    assert {r["id"]: (r["n_tokens"], r["n_known"]) for r in scored} == {1: (36, 36), 2: (36, 35)}
+
+
+def test_words_hash_alike_wherever_they_stand():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab cé漢\n") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    w = words(pa.array(texts))
+    seen = {}
+    for a, b, h in zip(w.starts, w.ends, w.hashes.tolist()):
+        seen.setdefault(w.data[a:b].tobytes(), set()).add(h)
+    assert all(len(v) == 1 for v in seen.values()) and len({h for v in seen.values() for h in v}) == len(seen)
