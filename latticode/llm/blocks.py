@@ -26,7 +26,7 @@ def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Id and text decide the block, so copies of a text spread unless their ids
     are equal too. A text longer than a block is a block's main part.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).alias("block")
     return docs.select(block, F.col(id_col).alias("id"), F.col(text_col).alias("text"),
@@ -116,7 +116,8 @@ def finish(texts: DataFrame, replies: DataFrame, result: Callable[[int, pa.Table
 
 def repeated_elsewhere(shard: int, table: pa.Table) -> list[tuple[int, int, bytes]]:
     """The reply to mail of (keys, 1 where the block has a key twice or more):
-    to each block those of its single keys that other blocks have too."""
+    to each block those of its single keys that other blocks have too. Keys stay
+    in the order of their senders, so that a reply is a slice."""
     sender = np.sort(table["sender"].to_numpy(), kind="stable")
     parts = bodies(table)
     keys = np.concatenate([p[0] for p in parts])
@@ -127,5 +128,6 @@ def repeated_elsewhere(shard: int, table: pa.Table) -> list[tuple[int, int, byte
     shared = np.zeros(len(keys), bool)
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
-    tell = shared & single
-    return [(int(b), shard, pack(keys[tell & (block == b)])) for b in np.unique(block[tell])]
+    tell = np.flatnonzero(shared & single)
+    to, first = np.unique(block[tell], return_index=True)
+    return [(int(b), shard, pack(part)) for b, part in zip(to, np.split(keys[tell], first[1:]))]

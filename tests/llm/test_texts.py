@@ -356,3 +356,15 @@ def test_words_hash_alike_wherever_they_stand():
     for a, b, h in zip(w.starts, w.ends, w.hashes.tolist()):
         seen.setdefault(w.data[a:b].tobytes(), set()).add(h)
     assert all(len(v) == 1 for v in seen.values()) and len({h for v in seen.values() for h in v}) == len(seen)
+
+
+def test_replies_go_to_the_blocks_that_asked():
+    keys = {0: [3, 5, 9], 1: [5, 7], 2: [2], 4: [3, 9, 11]}
+    rows = [(0, b, blocks.pack(np.array(k, np.uint64), np.array([x == 9 and b == 4 for x in k], np.uint8))) for b, k in keys.items()]
+    got = {to: blocks.unpack(body)[0].tolist() for to, _, body in blocks.repeated_elsewhere(0, blocks.letters(rows[::-1]))}
+    assert got == {0: [3, 5, 9], 1: [5], 4: [3]}
+
+
+def test_null_texts_count_for_blocks(spark):
+    nulls = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    assert blocks.blocked(nulls, block_bytes=1600)[1] == 20
