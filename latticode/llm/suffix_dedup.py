@@ -3,11 +3,13 @@
 Strings of `size` bytes are dealt by the smallest hash of the short strings
 inside them, so equal ones meet in one shard, as stretches of text and not one
 by one; stretches whose smallest hash no other place has cannot repeat and stay
-at home. A shard sorts the suffixes of its stretches: the triples at two of
-three positions are sorted and named, the string of names is treated the same
-way until names tell enough bytes, the remaining suffixes are sorted by their
-first byte and the rank behind it and merged. Then neighbours that agree in
-`size` bytes are the repeats.
+at home. A smallest hash with more than `HOT_BYTES` of stretches is split: its
+strings go each by a hash of their own. A shard makes equal stretches one and
+sorts the suffixes of the others: the triples at two of three positions are
+sorted and named, the string of names is treated the same way until names tell
+enough bytes, the remaining suffixes are sorted by their first byte and the
+rank behind it and merged. Then neighbours that agree in `size` bytes are the
+repeats.
 """
 
 import hashlib
@@ -19,13 +21,17 @@ from pyspark.sql import DataFrame
 
 from latticode.llm import blocks
 from latticode.llm.tables import written
-from latticode.llm.words import chunks, run_hashes, text_bytes
+from latticode.llm.words import byte_hashes, chunks, mix, run_hashes, text_bytes
 
 SIZE = 50
 SHORT = 16
 CHUNK = 1 << 18
+#: Bytes of stretches with one smallest hash, beyond which it is split.
+HOT_BYTES = 1 << 18
 #: Bytes of a block: half of the usual, as every place of a text has a hash.
 BLOCK_BYTES = blocks.BLOCK_BYTES // 2
+#: Ranges of hashes that a shard sorts one after the other.
+RANGES = 16
 LAST = np.iinfo(np.int64).max
 
 
@@ -70,8 +76,13 @@ def suffix_array(s: np.ndarray, depth: int, told: int = 1) -> np.ndarray:
     # how many sampled suffixes are below each remaining one, by kind
     a, b = sample[sample % 3 == 1], sample[sample % 3 == 2]
     below = np.searchsorted(end[a] * top + rank[a + 1], end[rest] * top + rank[rest + 1])
-    pair = np.unique(np.concatenate([end[b] * (end.max() + 1) + end[b + 1], end[rest] * (end.max() + 1) + end[rest + 1]]))
-    key = lambda at: np.searchsorted(pair, end[at] * (end.max() + 1) + end[at + 1]) * top + rank[at + 2]
+    wide = int(end.max()) + 1
+    two_of = lambda at: end[at] * wide + end[at + 1]
+    if wide * wide * int(top) < 1 << 63:
+        key = lambda at: two_of(at) * top + rank[at + 2]
+    else:
+        pair = np.sort(np.concatenate([two_of(b), two_of(rest)]))
+        key = lambda at: np.searchsorted(pair, two_of(at)) * top + rank[at + 2]
     # suffixes alike beyond `depth` may stand in any order, but not cross
     below = np.maximum.accumulate(below + np.searchsorted(key(b), key(rest)))
     out = np.empty(n, np.int64)
@@ -110,65 +121,207 @@ def _slide(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _least_hashes(data: np.ndarray, size: int, short: int) -> np.ndarray:
+    """The smallest hash of the short strings inside each string of `size` bytes."""
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data).data, strides=(1,))
+    n = len(data) - short + 1
+    h = np.zeros(n, np.uint64)
+    for k in [*range(0, short - 8, 8), short - 8]:
+        h ^= eight[k:k + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return _slide(h, size - short + 1)
+
+
 class Stretches(NamedTuple):
-    doc: np.ndarray
     start: np.ndarray   # first string, in the bytes of the texts together
     count: np.ndarray   # strings that begin here and at the next places
-    key: np.ndarray     # their smallest hash
+    key: np.ndarray     # their smallest hash, mixed: small ones are common
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, size: int, short: int) -> Stretches:
-    """Runs of strings of `size` bytes that have their smallest hash in common."""
+def _stretches(data: np.ndarray, offsets: np.ndarray, size: int, short: int) -> Stretches:
     none = np.zeros(0, np.int64)
     if len(data) < size:
-        return Stretches(none, none, none, none.astype(np.uint64))
-    at = np.arange(len(data) - short + 1)
-    least = _slide(run_hashes(data, at, at + short), size - short + 1)
-    inside = np.zeros(len(data) + 1, np.int64)
+        return Stretches(none, none, none.astype(np.uint64))
+    least = _least_hashes(data, size, short)
+    inside = np.zeros(len(data) + 1, np.int32)
     long = np.diff(offsets) >= size
     inside[offsets[:-1][long]] += 1
     inside[offsets[1:][long] - size + 1] -= 1
     valid = np.cumsum(inside[:len(least)]) > 0
     new = np.ones(len(least), bool)
-    new[1:] = least[1:] != least[:-1]
+    new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
     new[offsets[:-1][offsets[:-1] < len(least)]] = True
-    new[1:] |= valid[1:] & ~valid[:-1]
-    start = np.flatnonzero(new & valid)
-    run = np.cumsum(new & valid)[valid] - 1
-    return Stretches(np.searchsorted(offsets, start, side="right") - 1, start,
-                     np.bincount(run, minlength=len(start)), least[start])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(least)))
+    here = valid[start]
+    return Stretches(start[here], count[here], mix(least[start[here]]))
 
 
-def _parts(table: pa.Table, size: int, short: int):
-    texts = table["text"].combine_chunks()
-    for i, j in chunks(text_bytes(texts)[1], CHUNK):
-        data, offsets = text_bytes(texts[i:j])
-        yield i, data, offsets, stretches(data, offsets, size, short)
+def stretches(data: np.ndarray, offsets: np.ndarray, size: int, short: int) -> Stretches:
+    """Runs of strings of `size` bytes, at least `short` >= 8, that have their
+    smallest hash in common; made for some texts at a time."""
+    parts = []
+    for i, j in chunks(offsets, CHUNK):
+        a, b = offsets[i], offsets[j]
+        part = _stretches(data[a:b], offsets[i:j + 1] - a, size, short)
+        parts.append(part._replace(start=part.start + a))
+    if not parts:
+        return _stretches(data, offsets, size, short)
+    return Stretches(*[np.concatenate(c) for c in zip(*parts)])
+
 
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each run of `count` places."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
-def _known(table: pa.Table, answers: pa.Table, size: int, short: int) -> np.ndarray:
-    keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[
-        p[3].key for p in _parts(table, size, short)]]), return_counts=True)
-    return np.sort(np.concatenate([keys[counts > 1], *[b[0] for b in blocks.bodies(answers)]]))
 
+def _isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
 
-def _shared(part: Stretches, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, part.key), max(len(known) - 1, 0))
-    return np.flatnonzero(known[at] == part.key) if len(known) else np.zeros(0, np.int64)
 
+class Items(NamedTuple):
+    """Places of a block that are sent, and the different stretches there."""
 
-def _sent(table: pa.Table, known: np.ndarray, size: int, short: int) -> tuple[dict[tuple[int, bytes], int], np.ndarray]:
-    """The block's distinct stretches in order of (key, bytes), each with its
-    number, and the smallest document of each."""
-    docs, first = table["id"].cast(pa.int64()).fill_null(LAST).to_numpy(), {}
-    for i, data, _, part in _parts(table, size, short):
-        raw = data.tobytes()
-        for k in _shared(part, known).tolist():
-            name = int(part.key[k]), raw[part.start[k]:part.start[k] + part.count[k] + size - 1]
-            doc = int(docs[i + part.doc[k]])
-            first[name] = min(first.get(name, LAST), doc)
-    names = sorted(first)
-    return {name: k for k, name in enumerate(names)}, np.array([first[n] for n in names], np.int64)
+    start: np.ndarray   # of every place
+    count: np.ndarray
+    number: np.ndarray  # which stretch it is
+    keys: np.ndarray    # of the stretches, ascending
+    firsts: np.ndarray  # a place of each
+
+
+def _items(data: np.ndarray, found: Stretches, size: int) -> Items:
+    """The places by stretch: key, length and a hash of all bytes agree, 128 bits."""
+    content = byte_hashes(data, found.start, found.start + found.count + size - 1)
+    order = np.lexsort((found.count, content, found.key))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for column in (found.key, content, found.count):
+        new[1:] |= column[order][1:] != column[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    return Items(found.start, found.count, number, found.key[firsts], firsts)
+
+
+def _single(data: np.ndarray, found: Stretches, size: int) -> Stretches:
+    """The strings of the stretches one by one, each with a hash of its own."""
+    start = _places(found.start, found.count)
+    order = np.argsort(start)
+    start = start[order]
+    return Stretches(start, np.ones(len(start), np.int64), run_hashes(data, start, start + size))
+
+
+def _questions(data: np.ndarray, offsets: np.ndarray, size: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, bytes of their different stretches, 1 where a key has several places)."""
+    found = stretches(data, offsets, size, short)
+    order = np.argsort(found.key)
+    key = found.key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    several = np.diff(np.append(at, len(key))) > 1
+    volume = found.count[order][at] + size - 1
+    again = order[np.repeat(several, np.diff(np.append(at, len(key))))]
+    items = _items(data, Stretches(*[c[again] for c in found]), size)
+    if len(again):
+        volume[several] = np.add.reduceat(items.count[items.firsts] + size - 1,
+                                          np.flatnonzero(np.append(True, items.keys[1:] != items.keys[:-1])))
+    return key[at], volume, several.astype(np.uint8)
+
+
+def _reply(shard: int, table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """To each block: those of its keys with one place that other blocks have
+    too, and those that are split."""
+    sender, parts = np.sort(table["sender"].to_numpy(), kind="stable"), blocks.bodies(table)
+    keys, volume, several = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(keys)))
+    shared, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
+    shared[order] = np.repeat(times > 1, times)
+    hot[order] = np.repeat(np.add.reduceat(volume[order], at) > HOT_BYTES, times)
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+    shared &= several == 0
+    return [(int(b), shard, blocks.pack(k[s], k[h])) for b, k, s, h in zip(
+        sender, np.split(keys, cuts), np.split(shared, cuts), np.split(hot, cuts)) if s.any() or h.any()]
+
+
+def _sent(data: np.ndarray, offsets: np.ndarray, answers: pa.Table, size: int, short: int) -> Items:
+    """What a block sends to be sorted, after the answers to its questions."""
+    found, told = stretches(data, offsets, size, short), blocks.bodies(answers)
+    keys, times = np.unique(found.key, return_counts=True)
+    known = np.sort(np.concatenate([keys[times > 1], *[t[0] for t in told]]))
+    split = np.sort(np.concatenate([np.zeros(0, np.uint64), *[t[1] for t in told]]))
+    hot = _isin(found.key, split)
+    cool = Stretches(*[c[_isin(found.key, known) & ~hot] for c in found])
+    alone = _single(data, Stretches(*[c[hot & _isin(found.key, known)] for c in found]), size)
+    return _items(data, Stretches(*[np.concatenate(c) for c in zip(cool, alone)]), size)
+
+
+def _same(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For every stretch the first one with the same bytes."""
+    content = byte_hashes(data, start, start + length)
+    order = np.lexsort((np.arange(len(start)), length, content))
+    new = np.ones(len(order), bool)
+    new[1:] = (content[order][1:] != content[order][:-1]) | (length[order][1:] != length[order][:-1])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    copy = np.flatnonzero(first != np.arange(len(first)))
+    if len(copy):
+        differs = data[_places(start[copy], length[copy])] != data[_places(start[first[copy]], length[copy])]
+        wrong = copy[np.add.reduceat(differs, np.cumsum(length[copy]) - length[copy]) > 0]
+        first[wrong] = wrong
+    return first
+
+
+def _sorted_shard(parts: list[list[np.ndarray]], size: int) -> list[np.ndarray]:
+    """For each sender the smallest document of every string it sent, range by
+    range of the hashes, as equal strings lie in one."""
+    items = np.stack([np.concatenate([[0], np.cumsum(p[3])]) for p in parts])
+    chars = np.stack([np.concatenate([[0], np.cumsum(p[0], dtype=np.int64)])[i] for p, i in zip(parts, items)])
+    told = [[] for _ in parts]
+    for r in range(items.shape[1] - 1):
+        some = np.flatnonzero(items[:, r + 1] > items[:, r])
+        if not len(some):
+            continue
+        length, doc = (np.concatenate([parts[k][c][items[k, r]:items[k, r + 1]] for k in some]) for c in range(2))
+        data = np.concatenate([parts[k][2][chars[k, r]:chars[k, r + 1]] for k in some])
+        answer = _sorted_range(length.astype(np.int64), doc, data, size)
+        ends = (chars[some, r + 1] - chars[some, r] - (items[some, r + 1] - items[some, r]) * (size - 1)).cumsum()
+        for k, part in zip(some, np.split(answer, ends[:-1])):
+            told[k].append(part)
+    return [np.concatenate(t) for t in told]
+
+
+def _sorted_range(length: np.ndarray, doc: np.ndarray, data: np.ndarray, size: int) -> np.ndarray:
+    """The smallest document of every string of the stretches in `data`."""
+    start = np.cumsum(length) - length
+    first = _same(data, start, length)
+    least = np.full(len(first), LAST)
+    np.minimum.at(least, first, doc)
+    different = np.flatnonzero(first == np.arange(len(first)))
+    size_of, count = length[different], length[different] - size + 1
+    text = data[_places(start[different], size_of)]
+    begins = np.cumsum(size_of) - size_of
+    array, kind = equal_strings(text, _places(begins, count), size)
+    document = np.repeat(least[different], size_of)
+    best = np.full(kind[-1] + 1, LAST)
+    np.minimum.at(best, kind, document[array])
+    answer = np.empty(len(text), np.int64)
+    answer[array] = best[kind]
+    at = np.empty(len(first), np.int64)
+    at[different] = begins
+    return answer[_places(at[first], length - size + 1)]
+
+
+def _ids(table: pa.Table) -> np.ndarray:
+    return table["id"].cast(pa.int64()).fill_null(LAST).to_numpy()
 
 
 def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
@@ -183,73 +336,58 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives no rows; other columns are not read.
     """
     texts, n = blocks.blocked(docs, id_col, text_col, block_bytes)
-    shards = 16 * n  # a sort holds some twenty-five times its bytes
 
     def first(block: int, table: pa.Table) -> list:
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *[
-            p[3].key for p in _parts(table, size, short)]]), return_counts=True)
-        return list(blocks.mail(keys, n, block, (counts > 1).astype(np.uint8)))
+        keys, volume, several = _questions(*text_bytes(table["text"]), size, short)
+        return list(blocks.mail(keys, n, block, volume, several))
 
     def second(block: int, table: pa.Table, answers: pa.Table) -> list:
-        names, doc = _sent(table, _known(table, answers, size, short), size, short)
-        bodies = [body for _, body in names]
-        cuts = blocks.owner_cuts(np.array([key for key, _ in names], np.uint64), shards)
-        out = []
+        data, offsets = text_bytes(table["text"])
+        items, doc = _sent(data, offsets, answers, size, short), _ids(table)
+        least = np.full(len(items.keys), LAST)
+        np.minimum.at(least, items.number, doc[np.searchsorted(offsets, items.start, side="right") - 1])
+        start, length = items.start[items.firsts], items.count[items.firsts] + size - 1
+        ranges, out = blocks.owner_cuts(items.keys, n * RANGES), []
+        cuts = ranges[::RANGES]
         for s in np.flatnonzero(np.diff(cuts)):
-            mine = bodies[cuts[s]:cuts[s + 1]]
+            mine = slice(cuts[s], cuts[s + 1])
             out.append((int(s), block, blocks.pack(
-                np.array([len(b) for b in mine], np.int32), doc[cuts[s]:cuts[s + 1]],
-                np.frombuffer(b"".join(mine), np.uint8))))
+                length[mine].astype(np.int32), least[mine], data[_places(start[mine], length[mine])],
+                np.diff(ranges[s * RANGES:(s + 1) * RANGES + 1]).astype(np.int32))))
         return out
 
     def sort(shard: int, table: pa.Table) -> list:
-        sender, parts = np.sort(table["sender"].to_numpy(), kind="stable"), blocks.bodies(table)
-        length = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        count = length - size + 1
-        own = np.repeat(np.concatenate([p[1] for p in parts]), count)
-        starts = np.repeat(np.cumsum(length) - length - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        data = np.concatenate([p[2] for p in parts])
-        array, kind = equal_strings(data, starts, size)
-        least = np.full(kind[-1] + 1, LAST)
-        number = np.empty(len(data), np.int64)
-        number[starts] = np.arange(len(starts))
-        np.minimum.at(least, kind, own[number[array]])
-        answer = np.empty(len(starts), np.int64)
-        answer[number[array]] = least[kind]
-        ends = np.cumsum([int((p[0].astype(np.int64) - size + 1).sum()) for p in parts])
-        return [(int(b), -1 - shard, blocks.pack(a)) for b, a in zip(sender, np.split(answer, ends[:-1]))]
+        sender = np.sort(table["sender"].to_numpy(), kind="stable")
+        return [(int(b), -1 - shard, blocks.pack(a)) for b, a in zip(sender, _sorted_shard(blocks.bodies(table), size))]
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        sender = answers["sender"].to_numpy()
-        known = _known(table, answers.filter(pa.array(sender >= 0)), size, short)
-        names, _ = _sent(table, known, size, short)
-        count = np.array([len(body) - size + 1 for _, body in names], np.int64)
-        first_of = np.cumsum(count) - count
+        sender, doc = answers["sender"].to_numpy(), _ids(table)
+        data, offsets = text_bytes(table["text"])
+        items = _sent(data, offsets, answers.filter(pa.array(sender >= 0)), size, short)
         # answers of the shards, in the order of their numbers
         told = blocks.bodies(answers.filter(pa.array(sender < 0)))[::-1]
         least = np.concatenate([np.zeros(0, np.int64), *[t[0] for t in told]])
-        docs_of, rows = table["id"].cast(pa.int64()).fill_null(LAST).to_numpy(), []
-        for i, data, offsets, part in _parts(table, size, short):
-            raw, level = data.tobytes(), np.zeros(len(data) + 1, np.int64)
-            for k in _shared(part, known).tolist():
-                a, m = int(part.start[k]), int(part.count[k])
-                at = first_of[names[int(part.key[k]), raw[a:a + m + size - 1]]]
-                gone = a + np.flatnonzero(least[at:at + m] < docs_of[i + part.doc[k]])
-                np.add.at(level, gone, 1)
-                np.add.at(level, gone + size, -1)
-            removed = np.cumsum(level[:-1]) > 0
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                mask = removed[a:b]
-                kept = data[a:b][~mask].tobytes() if mask.any() else raw[a:b]
-                spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                rows.append((b - a, b - a - len(kept), spans, hashlib.sha256(kept).hexdigest(),
-                             kept if keep_bytes else None))
+        count = items.count[items.firsts]
+        at = (np.cumsum(count) - count)[items.number]
+        own = doc[np.searchsorted(offsets, items.start, side="right") - 1]
+        gone = least[_places(at, items.count)] < np.repeat(own, items.count)
+        begun = np.zeros(len(data) + 1, np.int32)
+        begun[_places(items.start, items.count)[gone] + 1] = 1
+        begun = np.cumsum(begun, dtype=np.int32)     # strings that go and begin before a byte
+        removed = begun[1:] > np.concatenate([np.zeros(size - 1, np.int32), begun])[:len(data)]
+        raw, rows = data.tobytes(), []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            mask = removed[a:b]
+            kept = data[a:b][~mask].tobytes() if mask.any() else raw[a:b]
+            spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
+            rows.append((b - a, b - a - len(kept), spans, hashlib.sha256(kept).hexdigest(),
+                         kept if keep_bytes else None))
         cols = list(zip(*rows)) or [()] * 5
         out = {"id": table["id"], "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
                "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[4], pa.binary())} if keep_bytes else {}))
 
-    repeated = written(blocks.answer(blocks.ask(texts, first), blocks.repeated_elsewhere), "repeated-hashes")
+    repeated = written(blocks.answer(blocks.ask(texts, first), _reply), "repeated-hashes")
     sorted_ = blocks.answer(blocks.ask(texts, second, repeated), sort)
     return blocks.finish(texts, repeated.union(sorted_), last, f"id {docs.schema[id_col].dataType.simpleString()}, "
                          "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
