@@ -233,7 +233,7 @@ def _questions(data: np.ndarray, offsets: np.ndarray, size: int, short: int) ->
     return key[at], volume, several.astype(np.uint8)
 
 
-def _reply(shard: int, table: pa.Table) -> list[tuple[int, int, bytes]]:
+def _reply(shard: int, table: pa.Table, hot_bytes: int) -> list[tuple[int, int, bytes]]:
     """To each block: those of its keys with one place that other blocks have
     too, and those that are split."""
     sender, parts = np.sort(table["sender"].to_numpy(), kind="stable"), blocks.bodies(table)
@@ -245,7 +245,7 @@ def _reply(shard: int, table: pa.Table) -> list[tuple[int, int, bytes]]:
     times = np.diff(np.append(at, len(keys)))
     shared, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
     shared[order] = np.repeat(times > 1, times)
-    hot[order] = np.repeat(np.add.reduceat(volume[order], at) > HOT_BYTES, times)
+    hot[order] = np.repeat(np.add.reduceat(volume[order], at) > hot_bytes, times)
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     shared &= several == 0
     return [(int(b), shard, blocks.pack(k[s], k[h])) for b, k, s, h in zip(
@@ -326,14 +326,15 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                            short: int = SHORT, block_bytes: int = BLOCK_BYTES,
-                           keep_bytes: bool = False) -> DataFrame:
+                           keep_bytes: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per row.
 
     A byte goes if a string of `size` bytes covers it that also starts in a row
     with a smaller id. Strings lie inside one text and are judged on the input.
     Ids are whole numbers; a null id is larger than all others, and rows with
     equal ids leave each other alone. A null or short text loses nothing. An
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read. `short` is 8 or more.
+    A smallest hash with more than `hot_bytes` of stretches is split.
     """
     texts, n = blocks.blocked(docs, id_col, text_col, block_bytes)
 
@@ -341,6 +342,9 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
         keys, volume, several = _questions(*text_bytes(table["text"]), size, short)
         return list(blocks.mail(keys, n, block, volume, several))
 
+    def answers_of(shard: int, table: pa.Table) -> list:
+        return _reply(shard, table, hot_bytes)
+
     def second(block: int, table: pa.Table, answers: pa.Table) -> list:
         data, offsets = text_bytes(table["text"])
         items, doc = _sent(data, offsets, answers, size, short), _ids(table)
@@ -387,7 +391,7 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
                "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[4], pa.binary())} if keep_bytes else {}))
 
-    repeated = written(blocks.answer(blocks.ask(texts, first), _reply), "repeated-hashes")
+    repeated = written(blocks.answer(blocks.ask(texts, first), answers_of), "repeated-hashes")
     sorted_ = blocks.answer(blocks.ask(texts, second, repeated), sort)
     return blocks.finish(texts, repeated.union(sorted_), last, f"id {docs.schema[id_col].dataType.simpleString()}, "
                          "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

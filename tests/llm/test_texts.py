@@ -110,8 +110,8 @@ def test_suffix_array(letters, depth):
         assert heads == sorted(heads)
 
 
-@pytest.mark.parametrize("size, short", [(50, 16), (20, 9)])
-def test_earlier_bytes(shared_rows, none, size, short):
+@pytest.mark.parametrize("size, short, hot", [(50, 16, 1 << 18), (20, 9, 1 << 18), (50, 16, 120), (20, 8, 0)])
+def test_earlier_bytes(shared_rows, none, size, short, hot):
     rows, first = pairs(shared_rows), {}
     for i, t in rows:
         b = (t or "").encode()
@@ -128,7 +128,8 @@ def test_earlier_bytes(shared_rows, none, size, short):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
-    got = suffix_dedup.remove_earlier_repeats(shared_rows, size=size, short=short, block_bytes=SMALL).collect()
+    got = suffix_dedup.remove_earlier_repeats(shared_rows, size=size, short=short, block_bytes=SMALL,
+                                              hot_bytes=hot).collect()
     assert counted(got, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == want
     assert suffix_dedup.remove_earlier_repeats(none).count() == 0
 
