@@ -6,11 +6,10 @@ Everything is a Spark expression; no Python runs in a task.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticode.llm.tables import SPACE, text_or_empty
+from latticode.llm.tables import SPACE, WORD, text_or_empty
 
 #: Fixed values of the rules.
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 #: Hash buckets, uni- and bigrams together; and the least ratio a document needs.
 BUCKETS = 16_384
@@ -18,7 +17,7 @@ THRESHOLD = -0.08
 
 
 def words_of(text: str) -> Column:
-    return F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text_or_empty(text), SPACE), "")
 
 
 def _next(array: Column, by: int) -> Column:
@@ -26,64 +25,70 @@ def _next(array: Column, by: int) -> Column:
     return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
-def _grams(hashes: Column, n: int) -> Column:
-    """Hashes of n consecutive entries: an array shorter by n - 1."""
-    out = hashes
-    for k in range(1, n):
-        out = F.zip_with(out, _next(hashes, k), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.array_compact(out)
+def _longer(grams: Column, hashes: Column, by: int) -> Column:
+    """Hashes of each n-gram of `by` entries with the entry behind it."""
+    n = F.greatest(F.size(hashes) - by, F.lit(0))
+    return F.zip_with(F.slice(grams, 1, n), F.slice(hashes, by + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
-def with_repeats(docs: DataFrame, hashes: str) -> DataFrame:
+def with_repeats(docs: DataFrame, hashes: str, pairs: str) -> DataFrame:
     """The documents with `__repeated`: words inside three-word windows that
-    the text has twice or more.
+    the text has twice or more, from its words and pairs of words.
 
-    Sorting the windows shows which occur twice. Their places are looked up in
-    that list while it is short, and else found by sorting windows with places;
-    each place covers three words. Every step is a column of its own, as an
-    array that a lambda refers to would be made again for every element.
+    Only texts whose windows differ less than they are many go on. Sorting the
+    windows shows which occur twice. Their places are looked up in that list
+    while it is short, and else found by sorting windows with places; each place
+    covers three words. Every step is a column of its own, as an array that a
+    lambda refers to would be made again for every element.
     """
     few, name = 24, F.col
-    sorted_ = docs.withColumn("__windows", _grams(name(hashes), 3)).withColumn("__sorted", F.sort_array("__windows"))
+    made = docs.withColumn("__all", _longer(name(pairs), name(hashes), 2))
+    repeats = F.size(F.array_distinct("__all")) < F.size("__all")
+    sorted_ = made.withColumn("__windows", F.when(repeats, name("__all")).otherwise(F.array().cast("array<bigint>")))
+    sorted_ = sorted_.withColumn("__sorted", F.sort_array("__windows"))
     twice = F.zip_with("__sorted", _next(name("__sorted"), 1), lambda a, b: F.when(a == b, a))
     listed = sorted_.withColumn("__twice", F.array_distinct(F.array_compact(twice)))
     looked = F.array_compact(F.transform("__windows", lambda w, i: F.when(F.array_contains("__twice", w), i)))
     placed = F.array_sort(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    pairs = F.zip_with(placed, _next(placed, 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    both = F.zip_with(placed, _next(placed, 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
     places = (F.when(F.size("__twice") == 0, F.array().cast("array<int>")).when(F.size("__twice") <= few, looked)
-              .otherwise(F.flatten(F.array_compact(pairs))))
+              .otherwise(F.flatten(F.array_compact(both))))
     covered = F.flatten(F.transform("__places", lambda i: F.array(i, i + 1, i + 2)))
     return listed.withColumn("__places", places).withColumn(
         "__repeated", F.size(F.array_distinct(covered)).cast("long")).drop(
-        "__windows", "__sorted", "__twice", "__places")
-
-
-def _without(text: Column, characters: str) -> Column:
-    return F.char_length(F.translate(text, characters, ""))
+        "__all", "__windows", "__sorted", "__twice", "__places")
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed and the word hashes `__hashes`.
+    n_repeat_words, base_failed, and the hashes `__hashes` of their words and
+    `__pairs` of neighbouring words.
 
     A null text has no words and fails.
     """
     text = text_or_empty(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    hashed = docs.withColumn("__hashes", F.transform(words_of(text_col), lambda w: F.xxhash64(w)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    split = docs.withColumn("__words", words_of(text_col))
+    hashed = split.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     hashes = F.col("__hashes")
-    ruled = with_repeats(hashed, "__hashes").select(
-        "*", F.size(hashes).cast("long").alias("n_words"), _without(text, BLANKS).cast("long").alias("word_chars"),
-        (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.col("__repeated").alias("n_repeat_words")).drop("__repeated")
+    paired = hashed.withColumn("__pairs", _longer(hashes, hashes, 1)).withColumn("__lines", lines)
+    ruled = with_repeats(paired, "__hashes", "__pairs").select(
+        "*", F.size(hashes).cast("long").alias("n_words"),
+        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.col("__repeated").alias("n_repeat_words")).drop("__repeated", "__words", "__lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return ruled.withColumn("base_failed", failed)
 
 
+def _bucket(h: Column, n: int) -> Column:
+    return F.pmod(h, F.lit(n)).cast("int")
+
+
 def buckets(hashes: Column, n: int = BUCKETS) -> Column:
     """Buckets of the words and of the pairs of neighbouring words."""
-    return F.transform(F.concat(hashes, _grams(hashes, 2)), lambda h: F.pmod(h, F.lit(n)).cast("int"))
+    return F.transform(F.concat(hashes, _longer(hashes, hashes, 1)), lambda h: _bucket(h, n))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -100,7 +105,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         ids.hint("merge"), F.col("__doc") == F.col("__id"), "left")
     hashed = marked.select(F.col("__id").isNotNull().alias("good"),
                            F.transform(words_of("__text"), lambda w: F.xxhash64(w)).alias("hashes"))
-    grams = hashed.select("good", F.explode(buckets(F.col("hashes"), n)).alias("bucket"))
+    every_gram = F.concat("hashes", _longer(F.col("hashes"), F.col("hashes"), 1))
+    grams = hashed.select("good", F.explode(every_gram).alias("gram")).select("good", _bucket(F.col("gram"), n).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
     every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0)
@@ -121,8 +127,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     """
     ratios = log_ratios(docs, trusted, id_col, text_col, n).scalar()
     ruled = base_rules(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text")
-    grams = ruled.withColumn("__grams", buckets(F.col("__hashes"), n)).withColumn("__ratios", ratios)
-    total = F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get("__ratios", b))
-    scored = grams.withColumn("ratio", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(0.0))
+    given = ruled.withColumn("__ratios", ratios)
+    add = lambda acc, h: acc + F.get("__ratios", _bucket(h, n))
+    total = F.aggregate("__pairs", F.aggregate("__hashes", F.lit(0.0), add), add)
+    grams = F.size("__hashes") + F.size("__pairs")
+    scored = given.withColumn("ratio", F.when(grams > 0, total / grams).otherwise(0.0))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop(
-        "__text", "__hashes", "__grams", "__ratios")
+        "__text", "__hashes", "__pairs", "__ratios")
