@@ -1,11 +1,13 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Each input partition makes a sorted run of (digest, smallest row, count). In
-every round the partitions exchange their runs with the `fan_in` partitions
-that differ from them in one digit, each run split by that digit of the
-digest, and merge what they get. After the last round a partition holds one
-range of digests, merged over all inputs; no task ever holds all of them, and
-a text that fills a third of the table is one row per run from the start.
+Every node of the tree is one partition and starts with the digests of the
+partitions that were dealt to it. In round r the nodes whose numbers differ in
+digit r exchange parts of their runs: a digest goes where its own digit r says.
+A node sorts what it gets and merges it to one run, an entry per digest with
+the smallest row and the count. After the last round a node holds one range of
+digests, merged over all inputs. A node only hears from `fan_in` nodes a round,
+so that a text that fills a third of the table is one row per run after the
+first round, and no task ever holds the rows of all.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -35,39 +37,49 @@ def _digit(number: Column, level: int, fan_in: int) -> Column:
     return F.pmod(F.floor(number / F.lit(fan_in ** level)), F.lit(fan_in))
 
 
-def _merge(runs: DataFrame) -> DataFrame:
-    """One entry per node and digest: sizes added, the smallest row kept.
+def _merge(runs: DataFrame, nodes: int) -> DataFrame:
+    """One run per node: an entry per digest, sizes added, the smallest row kept.
 
-    Digest and length have both to be equal for entries to merge. Spark sorts
-    and merges on the sending side first, so a run never repeats a digest.
+    Digest and length have both to be equal for entries to merge. A node's
+    entries are placed in its partition and sorted there, which the aggregate
+    takes as they are: it adds up neighbours and moves nothing.
     """
-    return runs.groupBy("node", *KEY).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    placed = runs.repartitionById(nodes, F.col("node")).sortWithinPartitions("node", *KEY)
+    return placed.groupBy("node", *KEY).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
 
 
-def merge_runs(table: DataFrame, fan_in: int = 8) -> DataFrame:
+def tree_rounds(table: DataFrame, fan_in: int) -> int:
+    """Digits of the nodes' numbers: as many nodes as the table has partitions
+    and the cluster has cores, at least `fan_in`."""
+    wanted = max(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism)
+    rounds = 1
+    while fan_in ** rounds < wanted:
+        rounds += 1
+    return rounds
+
+
+def merge_runs(table: DataFrame, fan_in: int = 2) -> DataFrame:
     """(digest, n_bytes, best, size) of all rows of `digests`.
 
     `best` is the row with the smallest id; a null id comes last, and of rows
-    with equal ids the first counts. Nodes of the tree are a power of `fan_in`
-    that covers the partitions of the table. In round r a node's r-th digit
-    gives way to that of the digest, so its run goes to at most `fan_in` nodes.
+    with equal ids the first counts. In round r a node's r-th digit gives way to
+    that of the digest, so its run goes to at most `fan_in` nodes; with two,
+    nodes exchange in pairs, in binomial rounds.
     """
-    rounds = 1
-    while fan_in ** rounds < table.rdd.getNumPartitions():
-        rounds += 1
+    rounds = tree_rounds(table, fan_in)
     nodes = fan_in ** rounds
     best = F.struct(F.isnull("id").alias("no_id"), "id", "row")
-    runs = table.select((F.spark_partition_id() % nodes).cast("long").alias("node"), *KEY, best.alias("best"),
+    runs = table.select((F.spark_partition_id() % nodes).alias("node"), *KEY, best.alias("best"),
                         F.lit(1).cast("long").alias("size"))
     route = F.pmod(F.xxhash64(*KEY), F.lit(nodes))
     for level in range(rounds):
         step = F.lit(fan_in ** level)
         shift = _digit(route, level, fan_in) - _digit(F.col("node"), level, fan_in)
-        runs = _merge(runs.withColumn("node", F.col("node") + shift * step))
+        runs = _merge(runs.withColumn("node", (F.col("node") + shift * step).cast("int")), nodes)
     return runs.drop("node")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     A null text is the empty text, and equal to it. Of equal texts one row
@@ -82,7 +94,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """The rows that stay, with all their columns (as `kept` above).
 
     Rows are told apart by id and digest; rows that have both in common are

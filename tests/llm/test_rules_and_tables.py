@@ -143,6 +143,18 @@ def test_mix_is_near_its_targets_and_repeatable(spark, awkward, none):
     assert out.columns == awkward.columns
 
 
+def test_runs_stay_with_their_nodes(spark, awkward):
+    table = exact_dedup.written(exact_dedup.digests(awkward), "digests")
+    for fan_in in (2, 4):
+        rounds, runs = exact_dedup.tree_rounds(table, fan_in), exact_dedup.merge_runs(table, fan_in)
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        assert rounds > 1 and runs.rdd.getNumPartitions() == fan_in ** rounds
+        assert plan.count("Exchange shufflepartitionidpassthrough") == plan.count("Exchange ") == rounds
+        node = exact_dedup.F.pmod(exact_dedup.F.xxhash64(*exact_dedup.KEY), exact_dedup.F.lit(fan_in ** rounds))
+        assert runs.where(node != exact_dedup.F.spark_partition_id()).count() == 0
+        assert sum(r["size"] for r in runs.collect()) == awkward.count()
+
+
 def test_exact_groups(spark, awkward, none):
     rows = awkward.select("doc_id", "text").collect()
     even = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
