@@ -31,6 +31,8 @@ COUNTERS_PER_BYTE = 5
 LEVELS = 6
 #: Most sets of a group that one task compares; larger groups are cut.
 PIECE = 2048
+#: Parts of a block's rows that get their classes on their own.
+SHARES = 32
 
 
 def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
@@ -426,10 +428,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classed.join(lowest, "root").select("digest", F.col("component_id").alias("linked_id"))
     every = sets.join(linked, "digest", "left").select(
         "digest", F.when(F.col("linked_id").isNotNull(), F.col("linked_id")).otherwise(F.col("id")).alias("class_id"))
-    return rows.join(every, "digest", "left").select(
-        "id", F.col("size").alias("n_shingles"),
-        F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("component_id"),
-        F.col("mark").alias("text_hash"))
+    # rows of one set are many in places: each block asks once per set and share
+    share_of = F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int")
+    known = rows.where("digest is not null").withColumn("share", share_of)
+    asking = known.select("block", "share", "digest").distinct().join(every, "digest")
+    return known.join(asking, ["block", "share", "digest"]).select(
+        "id", F.col("size").alias("n_shingles"), F.col("class_id").alias("component_id"),
+        F.col("mark").alias("text_hash")).union(rows.where("digest is null").select(
+            "id", F.col("size"), F.col("id"), F.col("mark")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
