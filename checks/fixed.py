@@ -30,3 +30,6 @@ PUSH = 3.0
 BROKEN_EVERY = 10
 # Vectors that a step of k-means starts from.
 CLUSTERS = 8
+# Directions that a step of PCA multiplies, and buckets of tables laid out alike.
+DIRECTIONS = 3
+BUCKETS = 8

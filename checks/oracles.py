@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from checks.fixed import BROKEN_EVERY, CARDS, CLUSTERS, CODEBOOK, DIM, INDEX_CAP, PADDED, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import BROKEN_EVERY, CARDS, CLUSTERS, CODEBOOK, DIM, DIRECTIONS, INDEX_CAP, PADDED, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 
 MSE, QJL = 42, 24
 UNBIASED = repr(math.sqrt(math.pi / 2) / math.sqrt(DIM)) + "::DOUBLE"
@@ -355,6 +355,21 @@ near AS (SELECT id, c, cost FROM d QUALIFY row_number() OVER (PARTITION BY id OR
 size AS (SELECT c, count(*) AS n, sum(cost) AS cost FROM near GROUP BY c)
 SELECT c::INT AS cluster, n, {r6('size.cost')} AS cost, j::INT AS pos, {r6('avg(x)')} AS x
 FROM raw JOIN near USING (id) JOIN size USING (c) GROUP BY c, n, size.cost, j""",
+    "pca_power_step": f"""WITH {RAW}, middle AS (SELECT j, avg(x) AS m FROM raw GROUP BY j),
+centered AS (SELECT id, j, x - m AS x FROM raw JOIN middle USING (j)),
+along AS (SELECT id, c, sum(x * ((j * (c + 2) + c) % 7 - 3)) AS y FROM centered, range({DIRECTIONS}) AS d(c) GROUP BY id, c)
+SELECT j::INT AS coordinate, c::INT AS direction, {r6('sum(x * y) / (count(*) - 1)')} AS x
+FROM centered JOIN along USING (id) GROUP BY j, c""",
+    "text_profile_merged": f"""WITH n AS (SELECT length(text) AS n FROM documents), whole AS (SELECT unnest([
+  {{'statistic': 'count', 'value': count(n)::DOUBLE}}, {{'statistic': 'null_count', 'value': (count(*) - count(n))::DOUBLE}},
+  {{'statistic': 'mean', 'value': {r6('avg(n)')}}}, {{'statistic': 'min', 'value': min(n)::DOUBLE}},
+  {{'statistic': 'max', 'value': max(n)::DOUBLE}}, {{'statistic': '25%', 'value': NULL}},
+  {{'statistic': '50%', 'value': NULL}}, {{'statistic': '75%', 'value': NULL}}], recursive := true) FROM n)
+SELECT statistic, value, true AS within FROM whole""",
+    "search_colocated": f"""WITH {label_hits()}, {PAPERS} SELECT qid, rank, id, {r6('score')} AS score, title
+FROM hits JOIN papers USING (id)""",
+    "index_documents_colocated": f"""WITH {PAPERS} SELECT id, title, {DIM // 2}::INT AS bytes
+FROM papers JOIN embeddings ON id = vec_id""",
     "index_compacted": index_rows(),
     "json_checked": f"""WITH {PAPERS}, {SPOILED} SELECT id::VARCHAR AS id, title, abstract, authors,
   CASE WHEN turn = 4 THEN 'x' END AS venue FROM spoiled WHERE turn NOT IN (1, 2, 3)""",

@@ -1,14 +1,15 @@
 """One query per operator, over whole tables, one scalar per output column."""
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import BROKEN_EVERY, CARDS, CELLS, CLUSTERS, CODEBOOK, DIM, INDEX_CAP, PADDED, PROBES, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
+from checks.fixed import BROKEN_EVERY, BUCKETS, CARDS, CELLS, CLUSTERS, CODEBOOK, DIM, DIRECTIONS, INDEX_CAP, PADDED, PROBES, PUSH, QUESTIONS, ROW_CAP, SAMPLE_EVERY, TOP_N
 from latticode.functions import codes, text, vectors
 from latticode.functions.encoders import hashed_encoder
-from latticode.operators import cascade, cells, grid, kmeans
+from latticode.operators import cascade, cells, grid, kmeans, power, sketches
 from latticode.operators import codebook as cb
 from latticode.operators import index as ix
 from latticode.operators import reduction as rd
@@ -16,7 +17,7 @@ from latticode.operators import rows as rw
 from latticode.operators import search as sr
 from latticode.operators import stats as st
 from latticode.plans import exploration, indexing, papers, retrieval
-from latticode.sources import checked, tables, versions
+from latticode.sources import checked, colocated, tables, versions
 from latticode.streaming import index_stream, standing
 
 MSE, QJL = ix.MSE_SEED, ix.QJL_SEED
@@ -577,6 +578,52 @@ def kmeans_step(spark, sf):
         "cluster", "n", "cost", "pos", r6(F.col("x")).alias("x"))
 
 
+def pca_power_step(spark, sf):
+    """The covariance times a block of fixed directions."""
+    points = embeddings(spark, sf)
+    count, mean, _ = power.moments(points)
+    rows, columns = np.arange(DIM)[:, None], np.arange(DIRECTIONS)[None, :]
+    block = ((rows * (columns + 2) + columns) % 7 - 3).astype(float)
+    image = power.covariance_times(points, mean, block).select("coordinate", F.posexplode("image").alias("direction", "x"))
+    return image.select("coordinate", "direction", r6(F.col("x") / (count - 1)).alias("x"))
+
+
+def text_profile_merged(spark, sf):
+    """Statistics of text lengths, merged from those of files; a quantile is
+    right if its place among the lengths is, within the sketches' bound."""
+    path = tables.new_shared_path(spark, "lengths")
+    lengths = tables.read_table(spark, f"{sf}/documents.parquet").select(F.length("text").alias("n"))
+    lengths.repartition(4).write.parquet(path)
+    files = tables.stored(sketches.file_statistics(spark.read.parquet(path), "n"), "statistics")
+    merged = sketches.merged_statistics(files)
+    found = merged.agg(F.map_from_entries(F.collect_list(F.struct("statistic", "value")))).scalar()
+    slack, names = 3 * sketches.rank_error(), {f"{q:.0%}": q for q in st.QUARTILES}
+    n, at = F.col("n"), {name: F.element_at(found, F.lit(name)) for name in names}
+    within = [((F.avg((n < at[name]).cast("int")) <= q + slack) & (F.avg((n <= at[name]).cast("int")) >= q - slack)).alias(name)
+              for name, q in names.items()]
+    right = spark.read.parquet(path).where("n is not null").agg(*within)
+    rows = right.select(F.inline(F.array(*[F.struct(F.lit(name).alias("statistic"), F.lit(None).cast("double").alias("value"),
+                                                    F.col(f"`{name}`").alias("within")) for name in names])))
+    exact = merged.where(~F.col("statistic").endswith("%"))
+    return exact.select("statistic", r6(F.col("value")).alias("value"), F.lit(True).alias("within")).union(rows)
+
+
+def search_colocated(spark, sf):
+    """Hits of a search with their documents, which are laid out by id."""
+    path = tables.new_shared_path(spark, "documents")
+    colocated.write_colocated(documents(spark, sf), path, "id", BUCKETS)
+    return scored(colocated.attach_colocated(hits(spark, sf), path)).select("qid", "rank", "id", "score", "title")
+
+
+def index_documents_colocated(spark, sf):
+    """An index next to its documents, both laid out by id."""
+    paths = [tables.new_shared_path(spark, n) for n in ("documents", "index")]
+    colocated.write_colocated(documents(spark, sf), paths[0], "id", BUCKETS)
+    colocated.write_colocated(index(spark, sf), paths[1], "id", BUCKETS)
+    docs, built = (colocated.read_colocated(spark, p) for p in paths)
+    return docs.hint("merge").join(built, "id").select("id", "title", F.length("packed").alias("bytes"))
+
+
 def cluster_vectors(spark, sf):
     return exploration.cluster_vectors(embeddings(spark, sf), "id", every=1).select("id", "cluster")
 
@@ -593,4 +640,5 @@ QUERIES = [
     search_qjl_2bit, search_qjl_reference, search_padded, search_short_queries, search_stored, search_documents, search_documents_semi, search_text,
     search_questions, search_grid, search_grid_text, search_cells, search_cells_grouped, search_cells_all, search_cells_near,
     cell_ranges, search_cascade, search_cascade_2bit, search_standing, index_compacted, json_checked, json_rejected, pca_variance, pca_components, kmeans_step, cluster_vectors,
+    pca_power_step, text_profile_merged, search_colocated, index_documents_colocated,
 ]

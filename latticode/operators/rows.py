@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from latticode.functions import kernels as k
 
+#: Keys that a top-k puts in order, and files whose row counts are sent to all tasks.
+TOP_ROWS = 100_000
+BROADCAST_FILES = 100_000
+
 
 def _range_of(key: Column, bounds: list) -> Column:
     """Number of bounds at or below the key (numbers or strings); 0 for null."""
@@ -68,8 +72,7 @@ def sample_file_rows(df: DataFrame, every: int) -> DataFrame:
     A row's number is its position in its file plus the rows of the files
     before it by path. Only the counts per file are gathered, so this is a map
     over the table: no row is shuffled, however wide it is. The counts are sent
-    to all tasks; they are no more than the list of files that the driver holds
-    to plan the scan.
+    to all tasks, up to `BROADCAST_FILES` of them; beyond that Spark chooses.
     """
     if every < 1:
         raise ValueError("every must be at least 1")
@@ -78,7 +81,9 @@ def sample_file_rows(df: DataFrame, every: int) -> DataFrame:
     # One row per file: a small table next to the data, and one window partition.
     before = Window.partitionBy().orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (placed.join(F.broadcast(starts), "_file")
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    return (placed.join(starts, "_file")
             .where((F.col("_start") + F.col("_position")) % every == 0)
             .select(*df.columns))
 
@@ -96,30 +101,35 @@ def sample_every(df: DataFrame, every: int, order_by: str) -> DataFrame:
     return df.join(chosen, F.col(order_by).eqNullSafe(F.col("_key")), "left_semi")
 
 
-def cap_rows(df: DataFrame, limit: int | None, order_by: str, ranges: int | None = None) -> DataFrame:
+def cap_rows(df: DataFrame, limit: int | None, order_by: str, ranges: int | None = None, most: int = TOP_ROWS) -> DataFrame:
     """First `limit` rows in the order of a unique key (null first); None keeps all.
 
-    Keys are counted by ranges; the range in which the limit falls gives the
-    last key that is kept, from a top-k of that range's keys. What is left is a
-    filter on the key, which reaches the scan: no row is numbered or moved. The
-    jobs that find the last key (a count, a sample, the range counts, the top-k)
-    run while the plan is built and read the key and what `df` filters on.
+    Keys are counted by ranges, and the range in which the limit falls is
+    divided again until it holds at most `most` keys; a top-k of those gives
+    the last key that is kept. What is left is a filter on the key, which
+    reaches the scan: no row is numbered or moved. The jobs that find the last
+    key run while the plan is built and read the key and what `df` filters on.
+    Rows that share the last key all stay.
     """
     if limit is None:
         return df
-    keys = df.select(F.col(order_by).alias("_key"))
-    ranged, bounds, counts = _ranged(keys, "_key", ranges)
-    seen = 0
-    for number, rows in counts:
-        if seen + rows >= limit:
-            low = F.lit(True) if number == 0 else F.col("_key") >= bounds[number - 1]
-            high = F.lit(True) if number == len(bounds) else F.col("_key") < bounds[number]
-            inside = keys.where((low & high) | (F.col("_key").isNull() & F.lit(number == 0)))
-            first = inside.orderBy("_key").limit(limit - seen)
-            last = first.agg(F.count("*").alias("n"), F.max("_key").alias("key")).first()
-            below = F.lit(False) if last["key"] is None else F.col(order_by) <= last["key"]
-            if seen == 0 and last["n"] == 0:
-                return df.where(F.lit(False))
-            return df.where(below | F.col(order_by).isNull())
-        seen += rows
-    return df
+    if limit == 0:
+        return df.where(F.lit(False))
+    inside, left, rows = df.select(F.col(order_by).alias("_key")), limit, None
+    while rows is None or rows > most:
+        _, bounds, counts = _ranged(inside, "_key", ranges)
+        before = rows
+        for number, rows in counts:
+            if rows >= left:
+                break
+            left -= rows
+        else:
+            return df
+        low = F.lit(True) if number == 0 else F.col("_key") >= bounds[number - 1]
+        high = F.lit(True) if number == len(bounds) else F.col("_key") < bounds[number]
+        inside = inside.where((low & high) | (F.col("_key").isNull() & F.lit(number == 0)))
+        if rows == before:  # equal keys cannot be divided
+            break
+    last = inside.orderBy("_key").limit(left).agg(F.max("_key").alias("key")).first()["key"]
+    below = F.lit(False) if last is None else F.col(order_by) <= last
+    return df.where(below | F.col(order_by).isNull())
