@@ -317,8 +317,8 @@ def index_row_cap(spark, sf):
 
 def index_stream_append(spark, sf):
     path, checkpoint = tables.new_shared_path(spark, "stream-index"), tables.new_shared_path(spark, "stream-log")
-    source = spark.read.parquet(f"{sf}/embeddings.parquet")
-    stream = index_stream.read_embeddings_stream(spark, sf, source.schema, pattern="embeddings.parquet")
+    source = f"{sf}/embeddings.parquet"
+    stream = index_stream.read_embeddings_stream(spark, index_stream.table_pattern(source), spark.read.parquet(source).schema, pattern="*")
     query = index_stream.append_index(stream, CODEBOOK[4], path, checkpoint, DIM, id_col="vec_id")
     query.awaitTermination()
     return index_rows(tables.read_index(spark, path, 4, MSE, QJL))

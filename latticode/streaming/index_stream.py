@@ -20,6 +20,13 @@ def read_embeddings_stream(spark: SparkSession, folder: str, schema: str | Struc
     return reader.parquet(folder)
 
 
+def table_pattern(path: str) -> str:
+    """A pattern that matches `path` alone. Spark streams the files of a plain
+    path only if it is a folder, those of a pattern also if it is one file."""
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    return f"{folder}{slash}{{{name}}}"
+
+
 def append_index(stream: DataFrame, codebook: DataFrame | Sequence[float], path: str, checkpoint: str,
                  dim: int, n_bits: int = 4, *, trigger: dict | None = None, **options) -> StreamingQuery:
     """Start a query that adds the index rows of every new embedding to `path`.

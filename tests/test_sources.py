@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.fixed import CODEBOOK, DIM
 from conftest import plan
 from latticode.functions.encoders import hashed_encoder, model_encoder
@@ -150,3 +151,16 @@ def test_stream_appends_what_a_batch_builds(spark, tmp_path, vectors_df):
     whole = ix.build_index(rows, CODEBOOK[4], 4, dim=DIM)
     columns = ["id", "packed", "gamma", "qjl_bits"]
     assert sorted(map(tuple, run().select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_table_in_a_folder_or_one_file(spark, tmp_path, files):
+    rows = [(n, [float((n * k) % 7 - 3) for k in range(DIM)], n % 3) for n in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.repartition(files).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.index_stream_append(spark, str(tmp_path)).count() == 40
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one, = (tmp_path / "one").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "embeddings.parquet").write_bytes(one.read_bytes())
+    assert queries.index_stream_append(spark, str(tmp_path / "file")).count() == 40
