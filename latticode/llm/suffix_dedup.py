@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from latticode.llm import blocks
-from latticode.llm.tables import written
 from latticode.llm.words import byte_hashes, chunks, mix, run_hashes, text_bytes
 
 SIZE = 50
@@ -391,7 +390,9 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
                "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[4], pa.binary())} if keep_bytes else {}))
 
-    repeated = written(blocks.answer(blocks.ask(texts, first), answers_of), "repeated-hashes")
+    # answered twice from the same mail: written, it would be a query of its own,
+    # and the texts would be shuffled, and lie on disk, twice
+    repeated = blocks.answer(blocks.ask(texts, first), answers_of)
     sorted_ = blocks.answer(blocks.ask(texts, second, repeated), sort)
     return blocks.finish(texts, repeated.union(sorted_), last, f"id {docs.schema[id_col].dataType.simpleString()}, "
                          "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

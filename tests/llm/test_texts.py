@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan
 from latticode.llm import backoff_lm, blocks, components, jaccard_join, pieces, quality_crf, substring_dedup, suffix_dedup
 from latticode.llm.queries import field_of, model_path, op3_quality_crf
 from latticode.llm.words import Words, windows, words
@@ -134,6 +136,20 @@ def test_earlier_bytes(shared_rows, none, size, short, hot):
     assert suffix_dedup.remove_earlier_repeats(none).count() == 0
 
 
+def test_texts_are_shuffled_once(spark, shared_rows):
+    """One query makes all of it: nothing is written before, and one exchange of texts is used three times."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = plan(suffix_dedup.remove_earlier_repeats(shared_rows, block_bytes=SMALL)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert set(shared.iterdir()) == before
+    assert len([x for x in lines if "- Exchange hashpartitioning(block" in x]) == 1
+    assert len([x for x in lines if "ReusedExchange" in x]) == 3  # texts twice, questions once
+
+
 @pytest.mark.parametrize("order, mu", [(1, 5.0), (2, 300.0), (3, 4.0)])
 def test_language_model(spark, shared_rows, none, order, mu):
     rows = [(i, split(lower(t).decode()) + ["END"]) for i, t in pairs(shared_rows)]
