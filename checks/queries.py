@@ -536,7 +536,7 @@ def spoiled_lines(spark: SparkSession, sf: str) -> DataFrame:
                               F.when(turn == 4, F.lit("x")).alias("venue")))
     spoiled = F.when(turn == 1, F.expr("left(line, length(line) - 1)")).when(turn == 2, title).otherwise(F.col("line"))
     path = tables.new_shared_path(spark, "spoiled")
-    docs.withColumn("line", line).repartitionByRange(3, "id").sortWithinPartitions("id").select(spoiled.alias("value")).write.text(path)
+    docs.withColumn("line", line).select(spoiled.alias("value")).write.text(path)  # a file per task
     return checked.read_lines(spark, path)
 
 

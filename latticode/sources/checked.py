@@ -16,7 +16,7 @@ BROKEN, WRONG_TYPE, NO_KEY = "not JSON", "wrong type", "no key"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text), lines from 1. Files are cut into splits; lines are
     counted per split and a split's first line is the sum of those before it, so
-    no file passes through one task."""
+    no file passes through one task; lines stay where they are read."""
     part = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
                                         F.col("_metadata.file_block_start").alias("start"))
 
@@ -34,7 +34,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
     counts = lines.groupBy("file", "start").agg(F.count("*").alias("n")).select(
         "file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return lines.join(counts, ["file", "start"]).select("file", (F.col("before") + F.col("place")).alias("line"), "text")
+    return lines.join(F.broadcast(counts), ["file", "start"]).select("file", (F.col("before") + F.col("place")).alias("line"), "text")
 
 
 def check_lines(lines: DataFrame, schema: str | StructType = PAPERS_SCHEMA, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -282,6 +282,32 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     assert all(json.loads(r.text)["n"] == r.line for r in lines)
 
 
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"id": str(n)}) for n in range(50)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of a table that is not small
+    try:
+        text = plan(checked.read_lines(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert [x for x in text.splitlines() if "Exchange hashpartitioning(file" in x and "text" in x] == []
+
+
+def test_spoiled_lines_have_a_file_per_part_of_the_input(spark, tmp_path):
+    rows = [(n, f"text {n}", "en", "web") for n in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task per file
+    try:
+        lines = registered.spoiled_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert lines.select("file").distinct().count() == 7 and lines.count() == 70
+    reasons = {r.reason: r.rows for r in registered.json_rejected(spark, str(tmp_path)).collect()}
+    assert reasons == {checked.BROKEN: 7, checked.WRONG_TYPE: 7, checked.NO_KEY: 7}
+    assert registered.json_checked(spark, str(tmp_path)).count() == 49
+
+
 # k-means
 
 def test_kmeans_of_clear_groups_ties_and_few_points(spark):
