@@ -336,14 +336,11 @@ def index_verify(spark, sf):
 
 def reconstruction_error(spark, sf):
     """Mean squared error of the stored vectors per bit width."""
-    unit = vectors.l2_normalize(F.col("embedding"))
-    stored = {bits: codes.pack(codes.quantize(vectors.rotate(unit, MSE, DIM), CODEBOOK[bits], DIM), bits, DIM)
-              for bits in (1, 2, 4)}
-    restored = embeddings(spark, sf).select(unit.alias("unit"), F.inline(F.array(*[
-        F.struct(F.lit(bits).alias("bits"), codes.dequantize(packed, CODEBOOK[bits], bits, MSE, DIM).alias("approximate"))
-        for bits, packed in stored.items()])))
-    rest = vectors.subtract(F.col("unit"), F.col("approximate"))
-    return (restored.groupBy("bits").agg(r6(F.avg(vectors.dot(rest, rest))).alias("mse")))
+    tables_of = {bits: CODEBOOK[bits] for bits in (1, 2, 4)}
+    errors = embeddings(spark, sf).select(codes.squared_errors(F.col("embedding"), tables_of, MSE, DIM).alias("error"))
+    each = errors.select(F.inline(F.array(*[
+        F.struct(F.lit(bits).alias("bits"), F.col(f"error.bits_{bits}").alias("squared")) for bits in tables_of])))
+    return each.groupBy("bits").agg(r6(F.avg("squared")).alias("mse"))
 
 
 # Search.

@@ -1,7 +1,8 @@
 """Code columns: one byte per code, or codes packed into bytes (`binary`)."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +67,31 @@ def dequantize(packed: Column, centroids: Sequence[float], bits: int, seed: int,
     return vectors(packed)
 
 
+def squared_errors(v: Column, tables: Mapping[int, Sequence[float]], seed: int, dim: int) -> Column:
+    """Squared distance of a vector, at length one, from what is stored of it:
+    a struct with a field `bits_<n>` per table. One function does it all, since
+    every task has a Python process for each of several that it needs."""
+    tables = {bits: tuple(table) for bits, table in tables.items()}
+    for bits in tables:
+        k.check_packable(k.next_power_of_two(dim), bits)
+    names = [f"bits_{bits}" for bits in tables]
+
+    def apply(vectors: pa.Array) -> pa.Array:
+        unit = k.normalize(k.list_matrix(vectors, dim))
+        rotated, errors = k.rotate(unit, seed), []
+        for bits, table in tables.items():
+            stored = k.pack(k.nearest(rotated, table), bits)
+            rest = unit - k.unrotate(k.unpack(stored, bits, table), seed, dim)
+            errors.append(pa.array(np.einsum("ij,ij->i", rest, rest)))
+        return pa.StructArray.from_arrays(errors, names=names)
+
+    @F.arrow_udf("struct<" + ", ".join(f"{name}: double" for name in names) + ">")
+    def squared(col: pa.Array) -> pa.Array:
+        return k.over_valid(col, lambda c: k.in_chunks(c, dim, apply))
+
+    return squared(v)
+
+
 def sign_sketch(v: Column, seed: int, dim: int) -> Column:
     """Sign bits (1 if > 0) of the rotated vector, most significant bit first."""
     k.check_packable(k.next_power_of_two(dim), 1)

@@ -119,7 +119,7 @@ def unpack(packed: np.ndarray, bits: int, values=None) -> np.ndarray:
     table = byte_codes(bits)
     if values is not None:
         table = np.asarray(values)[table]
-    return table[packed].reshape(len(packed), -1)
+    return table[packed].reshape(len(packed), packed.shape[1] * table.shape[1])
 
 
 def partial_products(rotated_query: np.ndarray, bits: int, values) -> np.ndarray:

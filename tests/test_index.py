@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.fixed import CODEBOOK, DIM
 from conftest import plan
 from latticode.functions import codes, vectors
@@ -135,3 +136,20 @@ def test_reconstruction_error(vectors_df, bits, error):
     rest = F.col("residual")
     mse = full.select(vectors.dot(rest, rest).alias("e")).agg(F.avg("e")).first()[0]
     assert mse == pytest.approx(error, rel=0.05)
+
+
+def test_reconstruction_error_takes_one_python_process_a_task(spark, tmp_path):
+    rows = [(n, None if n % 7 == 0 else [float((n * j) % 11 - 5) for j in range(DIM)], 0) for n in range(5, 60)]
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.reconstruction_error(spark, str(tmp_path))
+    assert plan(got).count("ArrowEvalPython") == 1
+    x = k.normalize(np.array([v for _, v, _ in rows if v]))
+    for r in got.collect():
+        table = np.array(CODEBOOK[r.bits])
+        rest = x - k.unrotate(table[k.nearest(k.rotate(x, 42), table)], 42, DIM)
+        assert r.mse == pytest.approx(np.square(rest).sum(axis=1).mean(), abs=1e-6)
+    no_vectors = spark.createDataFrame([(1, None, 0)], schema)
+    no_vectors.write.mode("overwrite").parquet(str(tmp_path / "nulls" / "embeddings.parquet"))
+    got = queries.reconstruction_error(spark, str(tmp_path / "nulls")).collect()
+    assert {(r.bits, r.mse) for r in got} == {(1, None), (2, None), (4, None)}
