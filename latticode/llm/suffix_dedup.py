@@ -5,11 +5,11 @@ inside them, so equal ones meet in one shard, as stretches of text and not one
 by one; stretches whose smallest hash no other place has cannot repeat and stay
 at home. A smallest hash with more than `HOT_BYTES` of stretches is split: its
 strings go each by a hash of their own. A shard makes equal stretches one and
-sorts the suffixes of the others: the triples at two of three positions are
-sorted and named, the string of names is treated the same way until names tell
-enough bytes, the remaining suffixes are sorted by their first byte and the
-rank behind it and merged. Then neighbours that agree in `size` bytes are the
-repeats.
+sorts the suffixes of those that then share their hash with another: the triples
+at two of three positions are sorted and named, the string of names is treated
+the same way until names tell enough bytes, the remaining suffixes are sorted by
+their first byte and the rank behind it and merged. Then neighbours that agree
+in `size` bytes are the repeats.
 """
 
 import hashlib
@@ -24,13 +24,16 @@ from latticode.llm.words import byte_hashes, chunks, mix, run_hashes, text_bytes
 
 SIZE = 50
 SHORT = 16
-CHUNK = 1 << 18
+#: Bytes of texts whose hashes are made at a time; a few arrays of them fit a core's cache.
+CHUNK = 1 << 16
 #: Bytes of stretches with one smallest hash, beyond which it is split.
 HOT_BYTES = 1 << 18
 #: Bytes of a block: half of the usual, as every place of a text has a hash.
 BLOCK_BYTES = blocks.BLOCK_BYTES // 2
 #: Ranges of hashes that a shard sorts one after the other.
 RANGES = 16
+#: Tags that tell most of the hashes of a range apart.
+TAGS = 1 << 16
 LAST = np.iinfo(np.int64).max
 
 
@@ -51,63 +54,66 @@ def _names(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def suffix_array(s: np.ndarray, depth: int, told: int = 1) -> np.ndarray:
+def suffix_array(s: np.ndarray, depth: int, told: int = 1, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of positive numbers in order, at least by their first `depth`
-    bytes; a number tells `told` bytes. Zeros follow the end."""
+    bytes; a number tells `told` bytes. Zeros follow the end. All suffixes, or
+    those where `wanted` is true: the others are named, but not merged."""
     n = len(s)
+    here = np.zeros(n + 3, bool)
+    here[:n] = True if wanted is None else wanted
     if n < 3:
-        return _names(*[np.append(s, [0] * 3)[k:k + n] for k in range(3)])[0]
-    end = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])          # the cover: 1 and 2 modulo 3
-    order, name = _names(end[sample], end[sample + 1], end[sample + 2])
+        order = _names(*[np.append(s, [0] * 3)[k:k + n] for k in range(3)])[0]
+        return order[here[order]]
+    end = np.zeros(n + 5, np.int64)
+    end[:n] = s
+    # the cover: positions 1 and 2 modulo 3, with one behind the end if needed
+    ones, twos = (n + 2) // 3, n // 3
+    order, name = _names(*[np.concatenate([end[1 + k::3][:ones], end[2 + k::3][:twos]]) for k in range(3)])
     if 3 * told < depth and name.max() < len(name):
         order = suffix_array(name, depth, 3 * told)
         name = np.empty(len(order), np.int64)
         name[order] = np.arange(1, len(order) + 1)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample] = name
-    sample = sample[order]
-    sample = sample[sample < n]
-    rest = np.arange(0, n, 3)
+    rank = np.zeros(n + 5, np.int64)
+    rank[1::3][:ones], rank[2::3][:twos] = name[:ones], name[ones:]
+    order = order[np.concatenate([here[1::3][:ones], here[2::3][:twos]])[order]]
+    of_one = order < ones
+    sample = 3 * order + np.where(of_one, 1, 2 - 3 * ones)
     top = rank.max() + 1
-    rest = rest[np.argsort(end[rest] * top + rank[rest + 1])]
-    # how many sampled suffixes are below each remaining one, by kind
-    a, b = sample[sample % 3 == 1], sample[sample % 3 == 2]
-    below = np.searchsorted(end[a] * top + rank[a + 1], end[rest] * top + rank[rest + 1])
+    # suffixes by a number or two and the rank behind: of each kind, in order
+    kept = np.flatnonzero(here[0::3][:ones])
+    rest = (end[0::3][:ones] * top + rank[1::3][:ones])[kept]
+    by_rest = np.argsort(rest)
+    a = end[1::3][:ones] * top + rank[2::3][:ones]
+    below = np.searchsorted(a[order[of_one]], rest[by_rest])
+    kept = kept[by_rest]
     wide = int(end.max()) + 1
-    two_of = lambda at: end[at] * wide + end[at + 1]
-    if wide * wide * int(top) < 1 << 63:
-        key = lambda at: two_of(at) * top + rank[at + 2]
-    else:
-        pair = np.sort(np.concatenate([two_of(b), two_of(rest)]))
-        key = lambda at: np.searchsorted(pair, two_of(at)) * top + rank[at + 2]
+    two_b, two_rest = end[2::3][:twos] * wide + end[3::3][:twos], end[0::3][:ones] * wide + end[1::3][:ones]
+    if wide * wide * int(top) >= 1 << 63:
+        pair = np.sort(np.concatenate([two_b, two_rest]))
+        two_b, two_rest = np.searchsorted(pair, two_b), np.searchsorted(pair, two_rest)
+    b, rest = two_b * top + rank[4::3][:twos], two_rest * top + rank[2::3][:ones]
     # suffixes alike beyond `depth` may stand in any order, but not cross
-    below = np.maximum.accumulate(below + np.searchsorted(key(b), key(rest)))
-    out = np.empty(n, np.int64)
-    place = np.arange(len(rest)) + below
-    free = np.ones(n, bool)
+    below = np.maximum.accumulate(below + np.searchsorted(b[order[~of_one] - ones], rest[kept]))
+    out = np.empty(len(order) + len(kept), np.int64)
+    place = np.arange(len(kept)) + below
+    free = np.ones(len(out), bool)
     free[place] = False
-    out[place], out[free] = rest, sample
+    out[place], out[free] = 3 * kept, sample
     return out
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, class): the starts ordered by their suffixes, and a number that
     those whose first `size` bytes agree share."""
-    array = suffix_array(data.astype(np.int64) + 1, size)
     wanted = np.zeros(len(data), bool)
     wanted[starts] = True
-    array = array[wanted[array]]
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(data) + 1, np.uint64)
-    for k in range(8):
-        word[:-1] |= padded[k:k + len(data)] << np.uint64(8 * (7 - k))
-    apart = np.zeros(len(array), bool)
-    apart[:1] = True
-    for k in [*range(0, size - 8, 8), size - 8]:
-        here = word[array + k]
-        apart[1:] |= here[1:] != here[:-1]
+    array = suffix_array(data.astype(np.int64) + 1, size, wanted=wanted)
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data).data, strides=(1,)).copy()
+    alike = np.arange(1, len(array))    # the last bytes tell most neighbours apart
+    for k in [size - 8, *range(0, size - 8, 8)]:
+        alike = alike[word[array[alike] + k] == word[array[alike - 1] + k]]
+    apart = np.ones(len(array), bool)
+    apart[alike] = False
     return array, np.cumsum(apart) - 1
 
 
@@ -177,11 +183,6 @@ def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-    return known[at] == values if len(known) else np.zeros(len(values), bool)
-
-
 class Items(NamedTuple):
     """Places of a block that are sent, and the different stretches there."""
 
@@ -192,14 +193,42 @@ class Items(NamedTuple):
     firsts: np.ndarray  # a place of each
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, where each different key begins in it, how often it occurs)."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    at = np.flatnonzero(new)
+    return order, at, np.diff(np.append(at, len(keys)))
+
+
+def _of_keys(found: Stretches, order: np.ndarray, times: np.ndarray, some: np.ndarray) -> Stretches:
+    """The stretches of some of the keys, in their places' order."""
+    here = np.empty(len(order), bool)
+    here[order] = np.repeat(some, times)
+    return Stretches(*[c[here] for c in found])
+
+
 def _items(data: np.ndarray, found: Stretches, size: int) -> Items:
-    """The places by stretch: key, length and a hash of all bytes agree, 128 bits."""
+    """The places by stretch: key, length and a hash of all bytes agree, 128 bits.
+    Stretches stand in an order of their own, however the texts lie."""
     content = byte_hashes(data, found.start, found.start + found.count + size - 1)
-    order = np.lexsort((found.count, content, found.key))
+    by_key, at, times = _runs(found.key)
+    # key's number and first bits of the content as one number to sort by
+    bits = max(1, len(at).bit_length())
+    both = content >> np.uint64(bits)
+    both[by_key] |= np.repeat(np.arange(len(at), dtype=np.uint64), times) << np.uint64(64 - bits)
+    order = np.argsort(both)
     new = np.ones(len(order), bool)
-    new[1:] = False
-    for column in (found.key, content, found.count):
-        new[1:] |= column[order][1:] != column[order][:-1]
+    new[1:] = both[order][1:] != both[order][:-1]
+    apart = new.copy()
+    for column in (content, found.count):
+        apart[1:] |= column[order][1:] != column[order][:-1]
+    if (apart & ~new).any():    # different ones with the same first bits: all of the columns
+        order = np.lexsort((found.count, content, found.key))
+        new[1:] = False
+        for column in (found.key, content, found.count):
+            new[1:] |= column[order][1:] != column[order][:-1]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     firsts = order[new]
@@ -217,19 +246,14 @@ def _single(data: np.ndarray, found: Stretches, size: int) -> Stretches:
 def _questions(data: np.ndarray, offsets: np.ndarray, size: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, bytes of their different stretches, 1 where a key has several places)."""
     found = stretches(data, offsets, size, short)
-    order = np.argsort(found.key)
-    key = found.key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    several = np.diff(np.append(at, len(key))) > 1
-    volume = found.count[order][at] + size - 1
-    again = order[np.repeat(several, np.diff(np.append(at, len(key))))]
-    items = _items(data, Stretches(*[c[again] for c in found]), size)
-    if len(again):
+    order, at, times = _runs(found.key)
+    several = times > 1
+    key, volume = found.key[order[at]], found.count[order[at]] + size - 1
+    items = _items(data, _of_keys(found, order, times, several), size)
+    if several.any():
         volume[several] = np.add.reduceat(items.count[items.firsts] + size - 1,
                                           np.flatnonzero(np.append(True, items.keys[1:] != items.keys[:-1])))
-    return key[at], volume, several.astype(np.uint8)
+    return key, volume, several.astype(np.uint8)
 
 
 def _reply(shard: int, table: pa.Table, hot_bytes: int) -> list[tuple[int, int, bytes]]:
@@ -237,11 +261,7 @@ def _reply(shard: int, table: pa.Table, hot_bytes: int) -> list[tuple[int, int,
     too, and those that are split."""
     sender, parts = np.sort(table["sender"].to_numpy(), kind="stable"), blocks.bodies(table)
     keys, volume, several = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.argsort(keys)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(keys)))
+    order, at, times = _runs(keys)
     shared, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
     shared[order] = np.repeat(times > 1, times)
     hot[order] = np.repeat(np.add.reduceat(volume[order], at) > hot_bytes, times)
@@ -254,13 +274,12 @@ def _reply(shard: int, table: pa.Table, hot_bytes: int) -> list[tuple[int, int,
 def _sent(data: np.ndarray, offsets: np.ndarray, answers: pa.Table, size: int, short: int) -> Items:
     """What a block sends to be sorted, after the answers to its questions."""
     found, told = stretches(data, offsets, size, short), blocks.bodies(answers)
-    keys, times = np.unique(found.key, return_counts=True)
-    known = np.sort(np.concatenate([keys[times > 1], *[t[0] for t in told]]))
-    split = np.sort(np.concatenate([np.zeros(0, np.uint64), *[t[1] for t in told]]))
-    hot = _isin(found.key, split)
-    cool = Stretches(*[c[_isin(found.key, known) & ~hot] for c in found])
-    alone = _single(data, Stretches(*[c[hot & _isin(found.key, known)] for c in found]), size)
-    return _items(data, Stretches(*[np.concatenate(c) for c in zip(cool, alone)]), size)
+    order, at, times = _runs(found.key)
+    keys, known, hot = found.key[order[at]], times > 1, np.zeros(len(at), bool)
+    for flag, k in ((known, 0), (hot, 1)):      # told of the block's own keys only
+        flag[np.searchsorted(keys, np.concatenate([keys[:0], *[t[k] for t in told]]))] = True
+    cool, alone = (_of_keys(found, order, times, some) for some in (known & ~hot, known & hot))
+    return _items(data, Stretches(*[np.concatenate(c) for c in zip(cool, _single(data, alone, size))]), size)
 
 
 def _same(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -289,34 +308,41 @@ def _sorted_shard(parts: list[list[np.ndarray]], size: int) -> list[np.ndarray]:
         some = np.flatnonzero(items[:, r + 1] > items[:, r])
         if not len(some):
             continue
-        length, doc = (np.concatenate([parts[k][c][items[k, r]:items[k, r + 1]] for k in some]) for c in range(2))
+        length, doc, tag = (np.concatenate([parts[k][c][items[k, r]:items[k, r + 1]] for k in some]) for c in (0, 1, 4))
         data = np.concatenate([parts[k][2][chars[k, r]:chars[k, r + 1]] for k in some])
-        answer = _sorted_range(length.astype(np.int64), doc, data, size)
+        answer = _sorted_range(length.astype(np.int64), doc, tag, data, size)
         ends = (chars[some, r + 1] - chars[some, r] - (items[some, r + 1] - items[some, r]) * (size - 1)).cumsum()
         for k, part in zip(some, np.split(answer, ends[:-1])):
             told[k].append(part)
     return [np.concatenate(t) for t in told]
 
 
-def _sorted_range(length: np.ndarray, doc: np.ndarray, data: np.ndarray, size: int) -> np.ndarray:
-    """The smallest document of every string of the stretches in `data`."""
-    start = np.cumsum(length) - length
+def _sorted_range(length: np.ndarray, doc: np.ndarray, tag: np.ndarray, data: np.ndarray, size: int) -> np.ndarray:
+    """The smallest document of every string of the stretches in `data`. A
+    stretch without another of its tag, but for copies, has no string that
+    another has; the others are sorted."""
+    start, count = np.cumsum(length) - length, length - size + 1
     first = _same(data, start, length)
     least = np.full(len(first), LAST)
     np.minimum.at(least, first, doc)
     different = np.flatnonzero(first == np.arange(len(first)))
-    size_of, count = length[different], length[different] - size + 1
+    shared = np.bincount(tag[different], minlength=TAGS)[tag] > 1
+    answer, different = np.repeat(least[first], count), different[shared[different]]
+    if not len(different):
+        return answer
+    size_of = length[different]
     text = data[_places(start[different], size_of)]
     begins = np.cumsum(size_of) - size_of
-    array, kind = equal_strings(text, _places(begins, count), size)
+    array, kind = equal_strings(text, _places(begins, count[different]), size)
     document = np.repeat(least[different], size_of)
     best = np.full(kind[-1] + 1, LAST)
     np.minimum.at(best, kind, document[array])
-    answer = np.empty(len(text), np.int64)
-    answer[array] = best[kind]
+    told = np.empty(len(text), np.int64)
+    told[array] = best[kind]
     at = np.empty(len(first), np.int64)
     at[different] = begins
-    return answer[_places(at[first], length - size + 1)]
+    answer[np.repeat(shared, count)] = told[_places(at[first[shared]], count[shared])]
+    return answer
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -351,12 +377,12 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
         np.minimum.at(least, items.number, doc[np.searchsorted(offsets, items.start, side="right") - 1])
         start, length = items.start[items.firsts], items.count[items.firsts] + size - 1
         ranges, out = blocks.owner_cuts(items.keys, n * RANGES), []
-        cuts = ranges[::RANGES]
+        cuts, tags = ranges[::RANGES], (items.keys % np.uint64(TAGS)).astype(np.uint16)
         for s in np.flatnonzero(np.diff(cuts)):
             mine = slice(cuts[s], cuts[s + 1])
             out.append((int(s), block, blocks.pack(
                 length[mine].astype(np.int32), least[mine], data[_places(start[mine], length[mine])],
-                np.diff(ranges[s * RANGES:(s + 1) * RANGES + 1]).astype(np.int32))))
+                np.diff(ranges[s * RANGES:(s + 1) * RANGES + 1]).astype(np.int32), tags[mine])))
         return out
 
     def sort(shard: int, table: pa.Table) -> list:

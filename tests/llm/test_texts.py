@@ -112,6 +112,60 @@ def test_suffix_array(letters, depth):
         assert heads == sorted(heads)
 
 
+@pytest.mark.parametrize("letters, depth", [(1, 50), (2, 9), (200, 50), (1 << 31, 50)])
+def test_suffix_array_of_wanted(letters, depth):
+    rng = np.random.default_rng(letters)
+    for n in range(1, 60):
+        s, wanted = rng.integers(1, letters + 1, n), rng.random(n) < rng.random()
+        order = suffix_dedup.suffix_array(s, depth, wanted=wanted)
+        assert sorted(order) == np.flatnonzero(wanted).tolist()
+        heads = [tuple(s[i:i + depth]) for i in order]
+        assert heads == sorted(heads)
+
+
+@pytest.mark.parametrize("kept", [64, 3])
+def test_items_stand_in_one_order(monkeypatch, kept):
+    """However texts lie, and with hashes of few bits that differ: blocks are read twice, in any order."""
+    whole = suffix_dedup.byte_hashes
+    monkeypatch.setattr(suffix_dedup, "byte_hashes", lambda *a: whole(*a) & np.uint64((1 << kept) - 1))
+    rng, orders = np.random.default_rng(6), []
+    data = rng.integers(97, 123, 4000).astype(np.uint8)
+    start, key = rng.integers(0, 3900, 300), rng.integers(0, 5, 300).astype(np.uint64)
+    count = 1 + start % 7
+    for _ in range(3):
+        by = rng.permutation(300)
+        items = suffix_dedup._items(data, suffix_dedup.Stretches(start[by], count[by], key[by]), 50)
+        place = [(int(k), int(count[by][f]), int(whole(data, start[by][f:f + 1], (start + count)[by][f:f + 1] + 49)[0])
+                  & ((1 << kept) - 1)) for k, f in zip(items.keys, items.firsts)]
+        assert len(set(place)) == len(place) and [p[0] for p in place] == sorted(p[0] for p in place)
+        assert all(place[n] == place[items.number[f]] for n, f in enumerate(items.firsts))
+        orders.append(place)
+    assert orders[0] == orders[1] == orders[2]
+
+
+def test_stretches_alone_are_not_sorted(monkeypatch):
+    """Copies meet before the sort; only stretches that share a tag with others are sorted, and only their strings."""
+    seen, whole = [], suffix_dedup.equal_strings
+    monkeypatch.setattr(suffix_dedup, "equal_strings",
+                        lambda data, starts, size: seen.append((bytes(data), len(starts))) or whole(data, starts, size))
+    rng = np.random.default_rng(4)
+    alone, left, right = (rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (60, 55, 57))
+    right = left[:50] + right[50:]                          # its first string is another's first
+    rows = [(alone, 7, 1), (left, 9, 2), (alone, 3, 1), (right, 5, 2), (alone, 7, 1)]
+    for tags, want in ((slice(0, 5), [(left + right, 6 + 8)]), (slice(0, 1), []), (slice(0, 3, 2), [])):
+        some = rows[tags]
+        got = suffix_dedup._sorted_range(
+            np.array([len(t) for t, _, _ in some]), np.array([d for _, d, _ in some]),
+            np.array([t for _, _, t in some], np.uint16), np.frombuffer(b"".join(t for t, _, _ in some), np.uint8), 50)
+        docs = {}
+        for t, d, _ in some:
+            for k in range(len(t) - 49):
+                docs[t[k:k + 50]] = min(docs.get(t[k:k + 50], d), d)
+        assert got.tolist() == [docs[t[k:k + 50]] for t, _, _ in some for k in range(len(t) - 49)]
+        assert seen == want
+        seen.clear()
+
+
 @pytest.mark.parametrize("size, short, hot", [(50, 16, 1 << 18), (20, 9, 1 << 18), (50, 16, 120), (20, 8, 0)])
 def test_earlier_bytes(shared_rows, none, size, short, hot):
     rows, first = pairs(shared_rows), {}
